@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, source_mix, substring_dedup, token_store
+from . import quality_rules, source_mix, substring_dedup, token_store, topk_search, url_filter
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,14 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest_rows(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -35,6 +44,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op7_quality_rules, op8_substring_dedup, op9_source_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op4_url_filter, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix)}
 #: Where SQL can express the whole result.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_url_filter": url_filter.ORACLE,
+    "op6_topk_search": topk_search.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
+}

@@ -435,3 +435,19 @@ def strip(docs: DataFrame, *, text: str = "text", window: int = WINDOW, m: int =
     keep = [c for c in docs.columns if c != text]
     schema = T.StructType([*docs.schema, T.StructField("_n", T.LongType()), T.StructField("_r", T.LongType())])
     return _finish(_joined(docs, text, window, m, hot), keep, window, schema, text).drop("_n", "_r")
+
+
+#: Every window as one string; the words of a text that a repeated one covers are left out.
+ORACLE = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS i FROM t WHERE len(w) >= {WINDOW}),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW} - 1], ' ') AS s FROM p),
+m AS (SELECT s FROM k GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS at FROM k JOIN m USING (s)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM t),
+y AS (
+  SELECT x.doc_id, count(c.at) AS gone, string_agg(CASE WHEN c.at IS NULL THEN word END, ' ' ORDER BY x.at) AS kept
+  FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.at = c.at GROUP BY x.doc_id)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN y USING (doc_id)
+"""
