@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, source_mix, substring_dedup, token_store, topk_search, url_filter
+from . import ngram_join, quality_rules, source_mix, substring_dedup, token_store, topk_search, url_filter
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op4_url_filter, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op4_url_filter, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix, op10_ngram_join)}
 #: Where SQL can express the whole result.
 ORACLE: dict[str, str] = {
     "op4_url_filter": url_filter.ORACLE,
