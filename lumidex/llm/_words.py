@@ -94,18 +94,18 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return data, offsets
 
 
-def _pieces(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """Cuts [lo, hi) behind white space into pieces of about BLOCK bytes; a longer word stays whole."""
+def _pieces(data: np.ndarray, lo: int, hi: int, space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts [lo, hi) behind separators into pieces of about BLOCK bytes; a longer word stays whole."""
     while hi - lo > BLOCK:
-        space = np.flatnonzero(SPACE[data[lo + BLOCK // 2 : lo + BLOCK]])
-        if len(space):
-            cut = lo + BLOCK // 2 + int(space[-1]) + 1
+        gap = np.flatnonzero(space[data[lo + BLOCK // 2 : lo + BLOCK]])
+        if len(gap):
+            cut = lo + BLOCK // 2 + int(gap[-1]) + 1
         else:
             cut, step = hi, lo + BLOCK
             while step < hi:
-                space = np.flatnonzero(SPACE[data[step : step + BLOCK]])
-                if len(space):
-                    cut = step + int(space[0]) + 1
+                gap = np.flatnonzero(space[data[step : step + BLOCK]])
+                if len(gap):
+                    cut = step + int(gap[0]) + 1
                     break
                 step += BLOCK
         yield lo, cut
@@ -113,18 +113,21 @@ def _pieces(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     yield lo, hi
 
 
-def scan(column: pa.Array | pa.ChunkedArray, *, hashes: bool = True, block: int = BLOCK) -> Iterator[Words]:
-    """Yields the words of all documents of a batch, a few documents (about ``block`` bytes) at a time."""
+def scan(column: pa.Array | pa.ChunkedArray, *, hashes: bool = True, block: int = BLOCK, space: np.ndarray = SPACE) -> Iterator[Words]:
+    """Yields the words of all documents of a batch, a few documents (about ``block`` bytes) at a time.
+
+    ``space`` tells which bytes separate words.
+    """
     data, offsets = string_buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + block, side="right")) - 1)
         off = offsets[i : j + 1]
         starts, ends, hs = [], [], []
-        for lo, hi in _pieces(data, int(off[0]), int(off[-1])):
+        for lo, hi in _pieces(data, int(off[0]), int(off[-1]), space):
             part = data[lo:hi]
             full = np.zeros(len(part) + 2, dtype=bool)
-            full[1:-1] = ~SPACE[part]
+            full[1:-1] = ~space[part]
             first = full[1:-1] & ~full[:-2]
             last = full[1:-1] & ~full[2:]
             edge = off[(off >= lo) & (off < hi)] - lo  # a document's first byte starts a word, the byte before it ends one
@@ -160,11 +163,10 @@ def window_hashes(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
     return mix(key[at]), at
 
 
-def digest_rows(words: Words, keep: np.ndarray) -> list[bytes]:
-    """Per document the kept words joined by one space, as bytes."""
-    out = []
-    raw = words.data.tobytes() if len(words.data) < 1 << 16 else memoryview(words.data)
-    for d in range(words.n_docs):
-        lo, hi = words.bounds[d], words.bounds[d + 1]
-        out.append(b" ".join(bytes(raw[s:e]) for s, e, k in zip(words.start[lo:hi], words.end[lo:hi], keep[lo:hi]) if k))
-    return out
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans data[start:end] as a binary array."""
+    size = end - start
+    off = np.zeros(len(size) + 1, dtype=np.int64)
+    np.cumsum(size, out=off[1:])
+    flat = data[np.repeat(start - off[:-1], size) + np.arange(off[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(flat)]).cast(pa.binary())

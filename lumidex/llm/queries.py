@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_rules, source_mix, substring_dedup, token_store, topk_search, url_filter
+from . import language_id, ngram_join, quality_rules, source_mix, substring_dedup, token_store, topk_search, url_filter
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest_rows(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op4_url_filter, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix, op10_ngram_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op3_language_id, op4_url_filter, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix, op10_ngram_join)}
 #: Where SQL can express the whole result.
 ORACLE: dict[str, str] = {
     "op4_url_filter": url_filter.ORACLE,
