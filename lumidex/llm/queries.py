@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, quality_rules, source_mix, substring_dedup, token_store, topk_search, url_filter
+from . import language_id, ngram_join, quality_lm, quality_rules, source_mix, substring_dedup, token_store, topk_search, url_filter
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(table(spark, sf_dir, "documents"), quality_lm.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest_rows(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -52,7 +56,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op3_language_id, op4_url_filter, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix, op10_ngram_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_lm, op2_token_store, op3_language_id, op4_url_filter, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix, op10_ngram_join)}
 #: Where SQL can express the whole result.
 ORACLE: dict[str, str] = {
     "op4_url_filter": url_filter.ORACLE,
