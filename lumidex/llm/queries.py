@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, quality_lm, quality_rules, source_mix, substring_dedup, token_store, topk_search, url_filter
+from . import language_id, ngram_join, quality_lm, quality_rules, sentencepiece_scan, source_mix, substring_dedup, token_store, topk_search, url_filter
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.digest_rows(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -56,7 +60,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_lm, op2_token_store, op3_language_id, op4_url_filter, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix, op10_ngram_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_lm, op2_token_store, op3_language_id, op4_url_filter, op5_sentencepiece, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix, op10_ngram_join)}
 #: Where SQL can express the whole result.
 ORACLE: dict[str, str] = {
     "op4_url_filter": url_filter.ORACLE,
