@@ -29,7 +29,7 @@ send giant texts through the library whole.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -359,10 +359,11 @@ def giant_ids(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     return whole.select("tid", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
 
 
-def _encoded(docs: DataFrame, text: str, path: str, giant: DataFrame | None, each, fields: list[T.StructField], keep: list[str]) -> DataFrame:
+def _encoded(docs: DataFrame, text: str, path: str, giant: int, chunk: int, each: Callable, fields: list[T.StructField], keep: list[str]) -> DataFrame:
     """``keep`` of docs and what ``each`` makes of (texts, id lists); giant texts bring their ids along."""
+    scanned = _giant(docs, text, path, giant, chunk)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_t"))
-    long_ = F.length("_t") >= GIANT
+    long_ = F.length("_t") >= giant
     schema = T.StructType([*[docs.schema[c] for c in keep], *fields])
     names = [f.name for f in schema]
 
@@ -380,10 +381,10 @@ def _encoded(docs: DataFrame, text: str, path: str, giant: DataFrame | None, eac
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *each(sp, b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist())], names=names)
 
-    if giant is None:
+    if scanned is None:
         return rows.mapInArrow(go, schema)
     small = rows.where(F.coalesce(~long_, F.lit(True))).mapInArrow(go, schema)
-    big = _with_digest(rows.where(long_)).join(giant, F.col("_d") == F.col("tid")).select(*[F.col(f"`{c}`") for c in keep], "_t", "ids").mapInArrow(given, schema)
+    big = _with_digest(rows.where(long_)).join(scanned, F.col("_d") == F.col("tid")).select(*[F.col(f"`{c}`") for c in keep], "_t", "ids").mapInArrow(given, schema)
     return small.unionByName(big)
 
 
@@ -399,12 +400,12 @@ def _with_digest(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(go, T.StructType([*rows.schema, T.StructField("_d", T.BinaryType())]))
 
 
-def _giant(docs: DataFrame, text: str, path: str) -> DataFrame | None:
+def _giant(docs: DataFrame, text: str, path: str, giant: int, chunk: int) -> DataFrame | None:
     ship(docs.sparkSession)
     if not Pieces(path).scannable():
         return None
     t = F.col(f"`{text}`")
-    return written(giant_ids(docs.where(F.length(t) >= GIANT).select(t.alias("t")), path), "giant")
+    return written(giant_ids(docs.where(F.length(t) >= giant).select(t.alias("t")), path, chunk), "giant")
 
 
 def _ids(sp: sentencepiece.SentencePieceProcessor, texts: list, ids: list) -> list[pa.Array]:
@@ -417,9 +418,9 @@ def _digests(sp: sentencepiece.SentencePieceProcessor, texts: list, ids: list) -
     return [pa.array([len(i) for i in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array([(t or "") == b for t, b in zip(texts, back)], pa.bool_())]
 
 
-def encode(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """docs with the column ``ids``: the ids of its text."""
-    return _encoded(docs, text, model, _giant(docs, text, model), _ids, [T.StructField(ids, T.ArrayType(T.IntegerType()))], docs.columns)
+    return _encoded(docs, text, model, giant, chunk, _ids, [T.StructField(ids, T.ArrayType(T.IntegerType()))], docs.columns)
 
 
 def decode(df: DataFrame, model: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -438,8 +439,8 @@ def decode(df: DataFrame, model: str, *, ids: str = "ids", text: str = "decoded"
     return df.mapInArrow(go, T.StructType([*df.schema, T.StructField(text, T.StringType())]))
 
 
-def digest_rows(docs: DataFrame, model: str, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def digest_rows(docs: DataFrame, model: str, *, id_col: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """Per row: id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text)."""
     fields = [T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
-    return _encoded(docs, text, model, _giant(docs, text, model), _digests, fields, [id_col])
+    return _encoded(docs, text, model, giant, chunk, _digests, fields, [id_col])
 
