@@ -11,8 +11,9 @@ threshold: the ``quantile`` of the trusted rows' perplexities times ``slack``.
 
 Scale: tasks sum counts of whole batches before they shuffle them, so what
 travels is distinct n-grams, not occurrences; the tables are sharded by key
-throughout and no part of the model is broadcast.  Trusted texts are shuffled
-once, compressed, to meet their labels.
+throughout and no part of the model is broadcast.  Trusted ids are a sharded
+table as well: texts find out where they lie whether they are trusted, so no
+text is shuffled, whatever the number of labels.
 
 Defined cases: text null or without characters: perplexity null, not kept.  A
 language (null is one) with fewer than MIN_TRUSTED trusted rows: threshold null,
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,13 +95,33 @@ def _lang(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~"))
 
 
-def _count(rows: DataFrame) -> DataFrame:
-    """rows: lang, z (compressed text).  (lang, g, c): counts of ORDER-grams."""
+def _id_keys(ids: DataFrame, name: str) -> tuple[str, int, int]:
+    """A sharded table of ids (a column of longs, distinct), under one-to-one mixed keys."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = W.mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(len(b)))], names=["key", "v"])
+
+    return write_sharded(ids.mapInArrow(go, "key long, v double"), "key", ["v"], name)
+
+
+def _among(table: Sharded, ids: pa.Array) -> np.ndarray:
+    valid = np.asarray(ids.is_valid())
+    key = W.mix(np.asarray(ids.fill_null(0)).view(np.uint64))
+    order = np.argsort(key)
+    out = np.zeros(len(key), dtype=bool)
+    out[order] = table.lookup(key[order])[0]
+    return out & valid
+
+
+def _count(rows: DataFrame, trusted: tuple[str, int, int]) -> DataFrame:
+    """rows: id, lang, text.  (lang, g, c): counts of ORDER-grams in the rows whose id the table ``trusted`` holds."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         size = 0
-        unpack = zstandard.ZstdDecompressor().decompress
+        table = Sharded(trusted)
 
         def send() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
@@ -111,23 +131,21 @@ def _count(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(uniq), pa.string()), pa.array(uniq.view(np.int64)), pa.array(c)], names=["lang", "g", "c"])
             held.clear()
 
-        for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                b = batch.slice(lo, 1024)
-                langs = b.column(0).to_pylist()
-                for first, gram, bounds in _pieces(pa.array([unpack(z) for z in b.column(1).to_pylist()], pa.binary()).cast(pa.string())):
-                    own = np.array(langs[first : first + len(bounds) - 1], dtype=object)
-                    for lang in set(own.tolist()):
-                        pick = gram[np.repeat(own == lang, np.diff(bounds))]
-                        pair = np.unique(pick, return_counts=True)
-                        held.setdefault(lang, []).append(pair)
-                        size += len(pair[0])
+        for b in batches:
+            pick = pa.array(np.flatnonzero(_among(table, b.column(0))))
+            langs = b.column(1).take(pick).to_pylist()
+            for first, gram, bounds in _pieces(b.column(2).take(pick)):
+                own = np.array(langs[first : first + len(bounds) - 1], dtype=object)
+                for lang in set(own.tolist()):
+                    pair = np.unique(gram[np.repeat(own == lang, np.diff(bounds))], return_counts=True)
+                    held.setdefault(lang, []).append(pair)
+                    size += len(pair[0])
                 if size >= GATHER:
                     yield from send()
                     size = 0
         yield from send()
 
-    return rows.select("lang", "z").mapInArrow(go, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(go, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -184,10 +202,11 @@ class Model:
         self.langs, self.table = langs, table
 
 
-def train(trusted: DataFrame) -> Model:
-    """trusted: lang (key), z (compressed text)."""
-    ship(trusted.sparkSession)
-    counts = written(_count(trusted), "grams")
+def train(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Learns from the rows of docs whose id is in ``ids`` (one column of longs, distinct)."""
+    ship(docs.sparkSession)
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), _lang(F.col(f"`{lang}`")).alias("lang"), F.col(f"`{text}`").alias("text"))
+    counts = written(_count(rows, _id_keys(ids, "trusted")), "grams")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # a row a language
     if not langs:
         return Model([], None)
@@ -262,24 +281,12 @@ def score(docs: DataFrame, model: Model, keep: list[Column], *, text: str = "tex
     return rows.mapInArrow(go, schema)
 
 
-def _compressed(docs: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            data, off = W.string_buffers(b.column(2))
-            z = [squeeze(data[lo:hi].tobytes()) for lo, hi in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["id", "lang", "z"])
-
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), _lang(F.col(f"`{lang}`")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(go, T.StructType([rows.schema["id"], rows.schema["lang"], T.StructField("z", T.BinaryType())]))
-
-
 def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """Per row: id, n_chars_scored, perplexity, threshold, kept.  ``trusted``: one column, ids of trusted rows, distinct."""
     ship(docs.sparkSession)
     ids = trusted.toDF("id")
-    model = train(_compressed(docs, id_col, text, lang).join(ids, "id", "left_semi"))
-    scored = written(score(docs, model, [F.col(f"`{id_col}`").alias("id")], text=text, lang=lang), "scores")
+    model = train(docs, ids, id_col=id_col, text=text, lang=lang)
+    scored = written(score(docs, model, [F.col(f"`{id_col}`").cast("long").alias("id")], text=text, lang=lang), "scores")
     scored = scored.withColumn("perplexity", F.exp(-F.col("logp") / (F.col("events") + 1)))
     limit = scored.join(ids, "id", "left_semi").where("perplexity is not null").groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", quantile, 10000).alias("q"))
     limit = written(limit.select("_lang", F.when(F.col("n") >= MIN_TRUSTED, F.col("q") * slack).alias("threshold")), "limits")
@@ -291,4 +298,4 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
 def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Ids that all labels call good and not toxic."""
     ok = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    return labels.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min(F.coalesce(ok, F.lit(False))).alias("ok")).where("ok").select("id")
+    return labels.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("id")).agg(F.min(F.coalesce(ok, F.lit(False))).alias("ok")).where("ok").select("id")
