@@ -350,7 +350,7 @@ def _traced(chunks: DataFrame, path: str) -> DataFrame:
 def giant_ids(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """texts: one column of giant texts.  (tid, ids): tid is the 128-bit xxh3 digest of the text."""
     ship(texts.sparkSession)
-    chunks = written(_chunks(texts, path, chunk), "chunks")
+    chunks = written(_chunks(texts, path, chunk).dropDuplicates(["tid", "k"]), "chunks")  # copies that several tasks met
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = chunks.repartition(n, "tid", "k")
     found = written(_resolved(_matrices(spread, path)), "states")
