@@ -56,6 +56,11 @@ class Index:
         rows = df.withColumn("doc_idx", (doc_idx if doc_idx is not None else F.monotonically_increasing_id()).cast("bigint"))
         return cls(rows.select("doc_idx", F.col(f"`{id_col}`").alias("doc_id")), postings(rows, specs), specs)
 
+    def restrict(self, fields: Sequence[str]) -> Index:
+        """The same index with some of its fields only; on disk that reads their folders alone."""
+        keep = lambda df: df.where(F.col("field").isin(*fields))
+        return Index(self.documents, keep(self.postings), [s for s in self.specs if s.name in fields], keep(self.lexicon), keep(self.stats), self.path)
+
     def point(self, term: str, field: str | None = None) -> DataFrame:
         """Lexicon entries of one term."""
         at = F.col("term") == term
@@ -104,8 +109,8 @@ class Store:
         fs.delete(old, False)
         fs.rename(new, old)
 
-    def append(self, df: DataFrame, id_col: str, specs: Iterable[FieldSpec] | None = None, order: list[Column] | None = None, on_duplicate: str = "keep") -> str:
-        """Writes df as a new segment.  Fields are fixed by the first segment.
+    def append(self, df: DataFrame, id_col: str, specs: Iterable[FieldSpec] | None = None, order: list[str] | None = None, on_duplicate: str = "keep") -> str:
+        """Writes df as a new segment.  Fields are fixed by the first segment; ``order`` (columns) numbers the documents, else they come as they are.
 
         ``on_duplicate``: ``keep`` trusts ids to be disjoint, ``raise`` checks them.
         """
@@ -122,7 +127,8 @@ class Store:
             if df.join(have, df[id_col].cast("string") == have["doc_id"].cast("string"), "left_semi").limit(1).count():
                 raise ValueError("documents are in the index already")
         start = c.get("docs", 0)
-        rows = numbered(df, "doc_idx", order, start)
+        columns = dict.fromkeys([id_col, *[s.source for s in fields], *(order or ())])
+        rows = numbered(df.select(*[F.col(f"`{c}`") for c in columns]), "doc_idx", [F.col(f"`{c}`") for c in order or ()], start)
         name = f"{c['next']:016X}"
         n = self._write(name, rows.select("doc_idx", F.col(f"`{id_col}`").alias("doc_id")), postings(rows, fields))
         c["segments"].append(name)
@@ -134,7 +140,8 @@ class Store:
     def _write(self, name: str, documents: DataFrame, posts: DataFrame) -> int:
         at = f"{self.path}/{name}"
         documents.write.parquet(f"{at}/documents")
-        posts.repartition("field", "term", "num_i", "num_f").sortWithinPartitions("field", "term", "num_i", "num_f", "doc_idx").write.partitionBy("field").parquet(f"{at}/postings")
+        # a rebalance, unlike a hash partitioning, splits a term that fills more than one partition
+        posts.hint("rebalance", "field", "term", "num_i", "num_f").sortWithinPartitions("field", "term", "num_i", "num_f", "doc_idx").write.partitionBy("field").parquet(f"{at}/postings")
         kept = self._read(name, "postings")
         lexicon(kept).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{at}/lexicon")
         field_stats(kept).write.parquet(f"{at}/field_stats")
