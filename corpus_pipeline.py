@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidex.llm import ngram_join, quality_rules, sentencepiece_scan, source_mix, substring_dedup
-from lumidex.llm._shared import forget, table, written
+from lumidex.llm._shared import forget, isolate, pick, table, written
 from lumidex.llm.queries import tokenizer_path
 
 
@@ -28,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup.strip(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out, (text, n_chars), back = isolate(substring_dedup.strip(docs), "text", "n_chars")
+    return back(out.withColumn(n_chars, F.length(text).cast("long")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = pick(docs, "doc_id", "lang", "source", "text")
     out = sentencepiece_scan.encode(docs, tokenizer_path("piece_bpe_32k.model"))
     return out.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids")
 

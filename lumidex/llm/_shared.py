@@ -8,9 +8,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -76,5 +78,27 @@ def ship(spark: SparkSession) -> None:
     sc._lumidex_shipped = True
 
 
+def pick(df: DataFrame, *columns: str) -> DataFrame:
+    """Just these columns, found by exact name whatever other columns are called."""
+    names = df.columns
+    inner = df.toDF(*[f"u{i}" for i in range(len(names))])
+    return inner.select(*[F.col(f"u{names.index(c)}").alias(c) for c in dict.fromkeys(columns)])
+
+
+def isolate(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """df with its columns called u0, u1, ..., what ``columns`` are called there, and the way back to the old names.
+
+    Operators that carry all columns work on the inner names, so none clashes with their own.
+    """
+    names = df.columns
+    inner = [f"u{i}" for i in range(len(names))]
+
+    def back(out: DataFrame) -> DataFrame:
+        more = [c for c in out.columns if c not in inner]
+        return out.select(*inner, *more).toDF(*names, *more)
+
+    return df.toDF(*inner), [f"u{names.index(c)}" for c in columns], back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, ship, written
+from ._shared import forget, pick, ship, written
 from ._tables import Sharded, write_sharded
 
 MIN_COUNT = 3
@@ -263,6 +263,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], *, text: str = "t
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Learns from the rows that are not held out, predicts all: id, held_out, lang_pred, score."""
+    docs = pick(docs, id_col, text, lang)
     out = held_out(F.col(f"`{id_col}`"))
     model = train(docs.where(~out).select(F.col(f"`{text}`"), F.col(f"`{lang}`")), text=text, lang=lang)
     return predict(docs, model, [F.col(f"`{id_col}`"), out.alias("held_out")], text=text)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, ship, written
+from ._shared import forget, pick, ship, written
 from ._tables import Sharded, write_sharded
 
 ORDER = 5
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column], *, text: str = "tex
 def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """Per row: id, n_chars_scored, perplexity, threshold, kept.  ``trusted``: one column, ids of trusted rows, distinct."""
     ship(docs.sparkSession)
-    ids = trusted.toDF("id")
+    docs, ids = pick(docs, id_col, text, lang), trusted.toDF("id")
     model = train(docs, ids, id_col=id_col, text=text, lang=lang)
     scored = written(score(docs, model, [F.col(f"`{id_col}`").cast("long").alias("id")], text=text, lang=lang), "scores")
     scored = scored.withColumn("perplexity", F.exp(-F.col("logp") / (F.col("events") + 1)))
@@ -297,5 +297,6 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
 
 def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Ids that all labels call good and not toxic."""
+    labels = pick(labels, id_col, "quality", "toxic")
     ok = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     return labels.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("id")).agg(F.min(F.coalesce(ok, F.lit(False))).alias("ok")).where("ok").select("id")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, ship, written
+from ._shared import forget, isolate, pick, ship, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -43,11 +43,11 @@ MIN_GROUP = 60
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Transformed statistics, the smallest spread each of them is credited with.
 VECTOR = (
-    ("mean word length, log", "ln(word_chars / n_words)", 0.06),
-    ("symbols per 100 characters, log", "ln(1 + 100.0 * n_symbols / word_chars)", 0.25),
+    ("mean word length, log", "ln(greatest(word_chars, 1) / greatest(n_words, 1))", 0.06),
+    ("symbols per 100 characters, log", "ln(1 + 100.0 * n_symbols / greatest(word_chars, 1))", 0.25),
     ("repeated lines, log", "ln(1.0 + n_dup_lines)", 0.5),
-    ("repeated words per 100, log", "ln(1 + 100.0 * n_repeat_words / n_words)", 1.0),
-    ("words, log", "ln(n_words)", 0.5),
+    ("repeated words per 100, log", "ln(1 + 100.0 * n_repeat_words / greatest(n_words, 1))", 1.0),
+    ("words, log", "ln(greatest(n_words, 1))", 0.5),
 )
 DIM = len(VECTOR)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
@@ -279,9 +279,11 @@ ALPHA = 1e-9
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", alpha: float = ALPHA) -> DataFrame:
     """Per row: id, the five counts, base_failed, distance2, kept."""
-    stats = written(with_stats(docs, text, [id_col, lang, source], "q_"), "stats")
+    docs = pick(docs, id_col, text, lang, source).toDF("u0", "u1", "u2", "u3")
+    stats = written(with_stats(docs, "u1", ["u0", "u2", "u3"], "q_"), "stats")
+    lang, source = "u2", "u3"
     out = verdict(stats, fit_stats(stats, lang, source, "q_"), chi2_quantile(1 - alpha, DIM), lang, source, "q_")
-    return out.select(id_col, *[F.col(f"q_{s}").alias(s) for s in STATS], F.col("q_base_failed").alias("base_failed"), F.col("q_distance2").alias("distance2"), F.col("q_kept").alias("kept"))
+    return out.select(F.col("u0").alias(id_col), *[F.col(f"q_{s}").alias(s) for s in STATS], F.col("q_base_failed").alias("base_failed"), F.col("q_distance2").alias("distance2"), F.col("q_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", alpha: float = ALPHA) -> DataFrame:
@@ -290,9 +292,10 @@ def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source
     The estimates come from a statistics table without texts; the second pass
     counts again instead of shuffling the texts to join them with verdicts.
     """
+    docs, (text, lang, source), back = isolate(docs, text, lang, source)
     names = docs.columns
     stats = written(with_stats(docs, text, [lang, source], "q_"), "stats")
     params = fit_stats(stats, lang, source, "q_")
     forget(stats)
     again = with_stats(docs, text, names, "q_")
-    return verdict(again, params, chi2_quantile(1 - alpha, DIM), lang, source, "q_").where("q_kept").select(*[F.col(f"`{c}`") for c in names])
+    return back(verdict(again, params, chi2_quantile(1 - alpha, DIM), lang, source, "q_").where("q_kept").select(*names))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import ship, written
+from ._shared import isolate, pick, ship, written
 
 GIANT = 65_536
 CHUNK = 16_384
@@ -419,13 +419,18 @@ def _digests(sp: sentencepiece.SentencePieceProcessor, texts: list, ids: list) -
 
 
 def encode(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """docs with the column ``ids``: the ids of its text."""
-    return _encoded(docs, text, model, giant, chunk, _ids, [T.StructField(ids, T.ArrayType(T.IntegerType()))], docs.columns)
+    """docs with the column ``ids``: the ids of its text.  A column of that name is replaced."""
+    names = docs.columns
+    if ids in names and ids != text:
+        docs = pick(docs, *[c for c in names if c != ids])
+    docs, (text,), back = isolate(docs, text)
+    return back(_encoded(docs, text, model, giant, chunk, _ids, [T.StructField(ids, T.ArrayType(T.IntegerType()))], docs.columns))
 
 
 def decode(df: DataFrame, model: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the column ``text``: what its ids stand for; null for null."""
     ship(df.sparkSession)
+    df, (ids,), back_ = isolate(df, ids)
     names = df.columns
     at = names.index(ids)
 
@@ -436,11 +441,11 @@ def decode(df: DataFrame, model: str, *, ids: str = "ids", text: str = "decoded"
             back = sp.decode([x or [] for x in lists], num_threads=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else y for x, y in zip(lists, back)], pa.string())], names=[*names, text])
 
-    return df.mapInArrow(go, T.StructType([*df.schema, T.StructField(text, T.StringType())]))
+    return back_(df.mapInArrow(go, T.StructType([*df.schema, T.StructField(text, T.StringType())])))
 
 
 def digest_rows(docs: DataFrame, model: str, *, id_col: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """Per row: id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text)."""
     fields = [T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
-    return _encoded(docs, text, model, giant, chunk, _digests, fields, [id_col])
+    return _encoded(pick(docs, id_col, text), text, model, giant, chunk, _digests, fields, [id_col])
 

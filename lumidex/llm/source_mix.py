@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, ship, written
+from ._shared import forget, isolate, pick, ship, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -264,13 +264,15 @@ def _sized(docs: DataFrame, id_col: str, text: str, source: str, keep: list[str]
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row: id, size, source_size, target, taken (words, repeats counted)."""
-    rows, n, goal = _sized(docs, id_col, text, source, list(dict.fromkeys([id_col, source])), None)
+    docs = pick(docs, id_col, text, source).toDF("u0", "u1", "u2")
+    rows, n, goal = _sized(docs, "u0", "u1", "u2", ["u0", "u2"], None)
     out = _decide(rows, n, goal)
-    return out.select(F.col(f"`{id_col}`"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken"))
+    return out.select(F.col("u0").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken"))
 
 
 def resample(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken."""
+    docs, (id_col, text, source), back = isolate(docs, id_col, text, source)
     names = docs.columns
     keep = [c for c in names if c != text]
     rows, n, goal = _sized(docs, id_col, text, source, keep, "_z")
@@ -284,4 +286,4 @@ def resample(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sou
             t = pa.RecordBatch.from_arrays([text_col if c == text else b.column(keep.index(c)) for c in names], names=names)
             yield t.take(pa.array(np.repeat(np.arange(len(b)), b.column(len(keep) + 1).to_numpy())))
 
-    return out.mapInArrow(go, schema)
+    return back(out.mapInArrow(go, schema))

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, ship, written
+from ._shared import forget, isolate, pick, ship, written
 
 WINDOW = 35
 M = 8
@@ -421,9 +421,9 @@ def _kept(w: W.Words, gone: np.ndarray, d: int, raw: bytes) -> list[bytes]:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, m: int = M, hot: int = HOT) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 of the kept words joined by one space."""
-    docs = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return _finish(_joined(docs, text, window, m, hot), [id_col], window, schema, None)
+    docs = pick(docs, id_col, text).toDF("u0", "u1")
+    schema = T.StructType([docs.schema["u0"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    return _finish(_joined(docs, "u1", window, m, hot), ["u0"], window, schema, None).withColumnRenamed("u0", id_col)
 
 
 def strip(docs: DataFrame, *, text: str = "text", window: int = WINDOW, m: int = M, hot: int = HOT) -> DataFrame:
@@ -432,9 +432,10 @@ def strip(docs: DataFrame, *, text: str = "text", window: int = WINDOW, m: int =
     A text that loses nothing keeps its exact bytes; in another the kept words
     are joined by one space.
     """
+    docs, (text,), back = isolate(docs, text)
     keep = [c for c in docs.columns if c != text]
     schema = T.StructType([*docs.schema, T.StructField("_n", T.LongType()), T.StructField("_r", T.LongType())])
-    return _finish(_joined(docs, text, window, m, hot), keep, window, schema, text).drop("_n", "_r")
+    return back(_finish(_joined(docs, text, window, m, hot), keep, window, schema, text).drop("_n", "_r"))
 
 
 #: Every window as one string; the words of a text that a repeated one covers are left out.

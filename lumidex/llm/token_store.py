@@ -51,7 +51,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import _words as W
-from ._shared import forget, fresh, local_path, ship, written
+from ._shared import forget, fresh, local_path, pick, ship, written
 
 ROLL, MASK, MIN, MAX = 16, 255, 64, 2048
 DIGEST = 16
@@ -332,7 +332,7 @@ def write_store(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text
     packs = packs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
     width = 2 if size <= 1 << 16 else 4
-    rows = _encode(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), tokenizer, end_id, packs, width)
+    rows = _encode(pick(docs, id_col, text).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), tokenizer, end_id, packs, width)
     recipes = written(_write_packs(rows.repartition(packs, "p").sortWithinPartitions("p", "name"), root, width), "recipes")
     keyed = recipes.withColumn("h", F.xxhash64("recipe")).withColumn("u", F.monotonically_increasing_id())
     ordered = keyed.repartitionByRange(packs, "doc_id", "h", "u").sortWithinPartitions("doc_id", "h", "u").select("doc_id", "n_tokens", "recipe")

@@ -32,7 +32,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import fresh, local_path, ship, written
+from ._shared import fresh, local_path, pick, ship, written
 
 SCALE = 256
 DIMS = 16
@@ -111,7 +111,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id", ve
     """query_id, rank, vec_id, score of each query row's k best other rows.  ``is_query`` reads the column vec_id."""
     spark = df.sparkSession
     ship(spark)
-    table = written(quantised(df, id_col, vector), "vectors")
+    table = written(quantised(pick(df, id_col, vector), id_col, vector), "vectors")
     path = fresh(spark, "queries")
     table.where(is_query & F.col("vec_id").isNotNull()).write.option("maxRecordsPerFile", QUERIES).parquet(path)
     where = local_path(path)

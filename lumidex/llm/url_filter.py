@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh, local_path, ship
+from ._shared import fresh, local_path, pick, ship
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -114,7 +114,7 @@ def judge(pages: DataFrame, *, blocklist: Iterable[str] | str = BLOCKLIST, id_co
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
         rule, said = F.when(_fits(h, p, r), r[0] + r[1]).otherwise(rule), F.when(_fits(h, p, r), r[2]).otherwise(said)
-    cut = pages.select(F.col(f"`{id_col}`"), host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
+    cut = pick(pages, id_col, url).select(F.col(f"`{id_col}`"), host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
     cut = cut.select("*", rule.alias("rule"), said.alias("verdict"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
