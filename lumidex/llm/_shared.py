@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +65,30 @@ def forget(df: DataFrame) -> None:
         shutil.rmtree(local_path(path), ignore_errors=True)
 
 
+#: Rows of a batch that goes to a Python worker.  Rows are whole texts here, and Spark counts rows, not bytes.
+BATCH = 1000
+
+
+def tidy(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Has a worker give back freed memory when a task ends; workers live on and would keep it."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from each(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, whose Python path need not hold it."""
+    """Sends this package to the executors, whose Python path need not hold it, and makes batches small where they have the default size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_lumidex_shipped", False):
         return

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh, local_path, ship
+from ._shared import fresh, local_path, ship, tidy
 
 
 def write_sharded(df: DataFrame, key: str, values: list[str], name: str, shards: int | None = None) -> tuple[str, int, int]:
@@ -55,7 +55,7 @@ def write_sharded(df: DataFrame, key: str, values: list[str], name: str, shards:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
 
-    rows.mapInArrow(go, "n long").agg(F.sum("n")).collect()
+    rows.mapInArrow(tidy(go), "n long").agg(F.sum("n")).collect()
     return root, n, width
 
 

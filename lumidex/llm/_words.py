@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 

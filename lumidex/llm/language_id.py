@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, pick, ship, written
+from ._shared import forget, pick, ship, tidy, written
 from ._tables import Sharded, write_sharded
 
 MIN_COUNT = 3
@@ -71,17 +71,17 @@ def _word_counts(train: DataFrame, langs: list[str]) -> DataFrame:
     cols = [f"c{i}" for i in range(len(langs))]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang = np.array([where[x] for x in b.column(0).to_pylist()], dtype=np.int64)
-            parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        size = 0
 
-            def send() -> pa.RecordBatch:
-                keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                words = pa.concat_arrays([p[2] for p in parts])
-                _, first, total = _sum_by(keys, counts)
-                return pa.RecordBatch.from_arrays([words.take(pa.array(first)), *[pa.array(total[:, i].astype(np.int64)) for i in range(len(cols))]], names=["word", *cols])
+        def send() -> pa.RecordBatch:
+            keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            words = pa.concat_arrays([p[2] for p in parts])
+            _, first, total = _sum_by(keys, counts)
+            return pa.RecordBatch.from_arrays([words.take(pa.array(first)), *[pa.array(total[:, i].astype(np.int64)) for i in range(len(cols))]], names=["word", *cols])
 
-            size = 0
+        for b in batches:
+            lang = np.array([where[x] for x in b.column(0).to_pylist()], dtype=np.int64)
             for w in _words(b.column(1)):
                 uniq, first, inv = np.unique(w.hashes, return_index=True, return_inverse=True)
                 cell = inv * len(cols) + np.repeat(lang[w.first : w.first + w.n_docs], np.diff(w.bounds))
@@ -91,10 +91,10 @@ def _word_counts(train: DataFrame, langs: list[str]) -> DataFrame:
                 if size >= GATHER:
                     yield send()
                     parts, size = [], 0
-            if parts:
-                yield send()
+        if parts:
+            yield send()
 
-    rows = train.mapInArrow(go, "word binary, " + ", ".join(f"{c} long" for c in cols))
+    rows = train.mapInArrow(tidy(go), "word binary, " + ", ".join(f"{c} long" for c in cols))
     return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in cols])
 
 
@@ -149,7 +149,7 @@ def _gram_counts(words: DataFrame, n_langs: int) -> DataFrame:
         if size:
             yield from send()
 
-    rows = words.mapInArrow(go, "key long, o int, " + ", ".join(f"{c} long" for c in cols))
+    rows = words.mapInArrow(tidy(go), "key long, o int, " + ", ".join(f"{c} long" for c in cols))
     return rows.groupBy("key").agg(F.first("o").alias("o"), *[F.sum(c).alias(c) for c in cols])
 
 
@@ -164,7 +164,7 @@ def _hashed(words: DataFrame, n_langs: int) -> DataFrame:
                 key = W.span_hashes(data[lo:hi], off[:-1], off[1:], lo)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns[1:]], names=["key", *cols])
 
-    return words.mapInArrow(go, "key long, " + ", ".join(f"{c} double" for c in cols))
+    return words.mapInArrow(tidy(go), "key long, " + ", ".join(f"{c} double" for c in cols))
 
 
 class Model:
@@ -258,7 +258,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], *, text: str = "t
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(pred.tolist(), pa.string()), pa.array(score)], names=names)
 
     schema = T.StructType([*rows.schema.fields[:k], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(go, schema)
+    return rows.mapInArrow(tidy(go), schema)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, pick, ship, written
+from ._shared import forget, pick, ship, tidy, written
 from ._tables import Sharded, write_sharded
 
 ORDER = 5
@@ -49,7 +49,7 @@ def _mask(n: int) -> int:
     return (1 << (BITS * n)) - 1
 
 
-def _pieces(column: pa.Array, block: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _pieces(column: pa.Array, block: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ORDER-grams of some rows on end, bounds): one gram a character and one a row's end."""
     data, off = W.string_buffers(column)
     n, i = len(off) - 1, 0
@@ -103,7 +103,7 @@ def _id_keys(ids: DataFrame, name: str) -> tuple[str, int, int]:
             key = W.mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(len(b)))], names=["key", "v"])
 
-    return write_sharded(ids.mapInArrow(go, "key long, v double"), "key", ["v"], name)
+    return write_sharded(ids.mapInArrow(tidy(go), "key long, v double"), "key", ["v"], name)
 
 
 def _among(table: Sharded, ids: pa.Array) -> np.ndarray:
@@ -145,7 +145,7 @@ def _count(rows: DataFrame, trusted: tuple[str, int, int]) -> DataFrame:
                     size = 0
         yield from send()
 
-    return rows.mapInArrow(go, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(tidy(go), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -220,7 +220,7 @@ def train(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", text: str
             key = W.mix(b.column(3).to_numpy().view(np.uint64) * W.U(0x9FB21C651E98DF25) + W.mix(tag.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(4)], names=["key", "v"])
 
-    table = write_sharded(rows.mapInArrow(go, "key long, v double"), "key", ["v"], "model-kn")
+    table = write_sharded(rows.mapInArrow(tidy(go), "key long, v double"), "key", ["v"], "model-kn")
     for t in [counts, *made]:
         forget(t)
     return Model(langs, table)
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column], *, text: str = "tex
             yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], pa.array(events), pa.array(logp, from_pandas=True)], names=names)
 
     schema = T.StructType([*rows.schema.fields[: k + 1], T.StructField("events", T.LongType()), T.StructField("logp", T.DoubleType())])
-    return rows.mapInArrow(go, schema)
+    return rows.mapInArrow(tidy(go), schema)
 
 
 def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:

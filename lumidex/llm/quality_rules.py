@@ -28,14 +28,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, isolate, pick, ship, written
+from ._shared import forget, isolate, pick, ship, tidy, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -148,7 +147,7 @@ def with_stats(df: DataFrame, text: str, keep: list[str], prefix: str = "") -> D
             s = text_stats(b.column(at))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(s[:, i]) for i in range(len(STATS))], names=names)
 
-    return df.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(go, schema)
+    return df.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(tidy(go), schema)
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -180,28 +179,28 @@ def _distance() -> Column:
 _PARAMS = "gl string, gs string, " + ", ".join(f"m{i} double" for i in range(DIM)) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
 
 
-def _solve(pdf: pd.DataFrame, count: np.ndarray, factor: float) -> pd.DataFrame:
-    """Centre and inverse scatter from the summed moments of a group's chosen rows."""
-    n = float(count.sum())
-    mean = np.array([pdf[f"s{i}"].sum() for i in range(DIM)]) / n
+def _solve(sums: np.ndarray, squares: np.ndarray, n: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and inverse scatter from summed moments."""
+    mean = sums / n
     cov = np.zeros((DIM, DIM))
-    for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = pdf[f"q{i}{j}"].sum() / n - mean[i] * mean[j]
-    cov = factor * cov + np.diag([f * f for _, _, f in VECTOR])
-    inv = np.linalg.inv(cov)
-    row = {"gl": pdf["gl"].iloc[0], "gs": pdf["gs"].iloc[0]} | {f"m{i}": mean[i] for i in range(DIM)} | {f"p{i}{j}": inv[i, j] for i, j in PAIRS}
-    return pd.DataFrame([row])
+    for (i, j), q in zip(PAIRS, squares):
+        cov[i, j] = cov[j, i] = q / n - mean[i] * mean[j]
+    return mean, np.linalg.inv(factor * cov + np.diag([f * f for _, _, f in VECTOR]))
 
 
-def _solver(last: bool, factor: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell", ignore_index=True)
+def _solver(last: bool, factor: float) -> Callable[[pa.Table], pa.Table]:
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cell")
+        cell, n = t["cell"].to_numpy(), t["n"].to_numpy()
         if last:
-            chosen = pdf[pdf["cell"] == 0] if (pdf["cell"] == 0).any() else pdf
+            chosen = cell == 0 if (cell == 0).any() else np.ones(len(cell), dtype=bool)
         else:
-            total = pdf["n"].cumsum()
-            chosen = pdf[: int(np.searchsorted(total.to_numpy(), math.ceil(H * int(total.iloc[-1])))) + 1]
-        return _solve(chosen, chosen["n"].to_numpy(), factor)
+            chosen = np.arange(len(cell)) <= np.searchsorted(np.cumsum(n), math.ceil(H * int(n.sum())))
+        sums = np.array([t[f"s{i}"].to_numpy()[chosen].sum() for i in range(DIM)])
+        squares = np.array([t[f"q{i}{j}"].to_numpy()[chosen].sum() for i, j in PAIRS])
+        mean, inv = _solve(sums, squares, float(n[chosen].sum()), factor)
+        row = {"gl": t["gl"][0].as_py(), "gs": t["gs"][0].as_py()} | {f"m{i}": mean[i] for i in range(DIM)} | {f"p{i}{j}": inv[i, j] for i, j in PAIRS}
+        return pa.Table.from_pylist([row])
 
     return solve
 
@@ -239,7 +238,7 @@ def fit(stats: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
         )
 
-        new = written(cells.groupBy("gl", "gs").applyInPandas(_solver(last, end_factor if last else raw_factor), _PARAMS), "mcd")
+        new = written(cells.groupBy("gl", "gs").applyInArrow(_solver(last, end_factor if last else raw_factor), _PARAMS), "mcd")
         forget(params)
         params = new
     return params

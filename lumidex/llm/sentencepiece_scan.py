@@ -33,7 +33,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import xxhash
@@ -41,10 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import isolate, pick, ship, written
+from ._shared import isolate, pick, ship, tidy, written
 
 GIANT = 65_536
 CHUNK = 16_384
+#: Texts the library encodes at a time; their ids are Python lists for a moment.
+GROUP = 64
 _SPACE = "▁"
 
 
@@ -305,46 +306,57 @@ def _chunks(texts: DataFrame, path: str, chunk: int) -> DataFrame:
                 cols = list(zip(*out)) if out else [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.binary(), *[pa.int32()] * 6, pa.string()))], names=["tid", "k", "n", "base", "lo", "hi", "total", "t"])
 
-    return texts.mapInArrow(go, _CHUNKS)
+    return texts.mapInArrow(tidy(go), _CHUNKS)
+
+
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema)], names=[n for n, _ in schema])
+
+
+_STATES = [("tid", pa.binary()), ("k", pa.int32()), ("total", pa.int32()), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32())), ("w", pa.binary())]
+_FOUND = [("tid", pa.binary()), *[(c, pa.int32()) for c in "kabcd"]]
+_TRACED = [("tid", pa.binary()), ("k", pa.int32()), ("ids", pa.list_(pa.int32()))]
 
 
 def _matrices(chunks: DataFrame, path: str) -> DataFrame:
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = pieces(path)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for r in b.itertuples():
-                left, right, w = transfer(m, r.t, r.lo - r.base, r.hi - r.base)
-                rows.append((r.tid, r.k, r.total, [x + r.base for s in left for x in s], [x + r.base for s in right for x in s], np.packbits(w == 0).tobytes()))
-            yield pd.DataFrame(rows, columns=["tid", "k", "total", "left", "right", "w"])
+            for r in b.to_pylist():
+                left, right, w = transfer(pieces(path), r["t"], r["lo"] - r["base"], r["hi"] - r["base"])
+                rows.append((r["tid"], r["k"], r["total"], [x + r["base"] for s in left for x in s], [x + r["base"] for s in right for x in s], np.packbits(w == 0).tobytes()))
+            yield _batch(rows, _STATES)
 
-    return chunks.mapInPandas(go, "tid binary, k int, total int, left array<int>, right array<int>, w binary")
+    return chunks.mapInArrow(tidy(go), "tid binary, k int, total int, left array<int>, right array<int>, w binary")
 
 
 def _resolved(matrices: DataFrame) -> DataFrame:
     """One row of small matrices a text: its boundary states."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
+    def solve(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("k").to_pylist()
         parts = []
-        for r in pdf.itertuples():
-            left, right = [tuple(x) for x in np.reshape(r.left, (-1, 2)).tolist()], [tuple(x) for x in np.reshape(r.right, (-1, 2)).tolist()]
-            bits = np.unpackbits(np.frombuffer(r.w, np.uint8))[: len(left) * len(right)].reshape(len(left), len(right))
+        for r in rows:
+            left, right = [tuple(x) for x in np.reshape(r["left"], (-1, 2)).tolist()], [tuple(x) for x in np.reshape(r["right"], (-1, 2)).tolist()]
+            bits = np.unpackbits(np.frombuffer(r["w"], np.uint8))[: len(left) * len(right)].reshape(len(left), len(right))
             parts.append((left, right, np.where(bits == 1, 0.0, -np.inf)))
-        found = resolve(parts, int(pdf["total"].iloc[0]))
-        return pd.DataFrame({"tid": pdf["tid"].to_numpy(), "k": pdf["k"].to_numpy(), "a": [f[0] for f, _ in found], "b": [f[1] for f, _ in found], "c": [s[0] for _, s in found], "d": [s[1] for _, s in found]})
+        found = resolve(parts, rows[0]["total"])
+        return pa.Table.from_batches([_batch([(r["tid"], r["k"], *f, *s) for r, (f, s) in zip(rows, found)], _FOUND)])
 
-    return matrices.groupBy("tid").applyInPandas(solve, "tid binary, k int, a int, b int, c int, d int")
+    return matrices.groupBy("tid").applyInArrow(solve, "tid binary, k int, a int, b int, c int, d int")
 
 
 def _traced(chunks: DataFrame, path: str) -> DataFrame:
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = pieces(path)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [chunk_ids(m, r.t, r.lo - r.base, r.hi - r.base, (r.a - r.base, r.b - r.base), (r.c - r.base, r.d - r.base)) for r in b.itertuples()]
-            yield pd.DataFrame({"tid": b["tid"], "k": b["k"], "ids": ids})
+            rows = []
+            for r in b.to_pylist():
+                lo, hi, a, b_, c, d = (r[x] - r["base"] for x in ("lo", "hi", "a", "b", "c", "d"))
+                rows.append((r["tid"], r["k"], chunk_ids(pieces(path), r["t"], lo, hi, (a, b_), (c, d))))
+            yield _batch(rows, _TRACED)
 
-    return chunks.mapInPandas(go, "tid binary, k int, ids array<int>")
+    return chunks.mapInArrow(tidy(go), "tid binary, k int, ids array<int>")
 
 
 def giant_ids(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -370,8 +382,8 @@ def _encoded(docs: DataFrame, text: str, path: str, giant: int, chunk: int, each
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(path).sp
         for b in batches:
-            for lo in range(0, len(b), 1000):
-                s = b.slice(lo, 1000)
+            for lo in range(0, len(b), GROUP):
+                s = b.slice(lo, GROUP)
                 texts = s.column(len(keep)).to_pylist()
                 ids = sp.encode([x or "" for x in texts], num_threads=1)
                 yield pa.RecordBatch.from_arrays([*s.columns[: len(keep)], *each(sp, texts, ids)], names=names)
@@ -382,9 +394,9 @@ def _encoded(docs: DataFrame, text: str, path: str, giant: int, chunk: int, each
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *each(sp, b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist())], names=names)
 
     if scanned is None:
-        return rows.mapInArrow(go, schema)
-    small = rows.where(F.coalesce(~long_, F.lit(True))).mapInArrow(go, schema)
-    big = _with_digest(rows.where(long_)).join(scanned, F.col("_d") == F.col("tid")).select(*[F.col(f"`{c}`") for c in keep], "_t", "ids").mapInArrow(given, schema)
+        return rows.mapInArrow(tidy(go), schema)
+    small = rows.where(F.coalesce(~long_, F.lit(True))).mapInArrow(tidy(go), schema)
+    big = _with_digest(rows.where(long_)).join(scanned, F.col("_d") == F.col("tid")).select(*[F.col(f"`{c}`") for c in keep], "_t", "ids").mapInArrow(tidy(given), schema)
     return small.unionByName(big)
 
 
@@ -397,7 +409,7 @@ def _with_digest(rows: DataFrame) -> DataFrame:
             d = [xxhash.xxh3_128_digest(x.encode()) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d, pa.binary())], names=[*names, "_d"])
 
-    return rows.mapInArrow(go, T.StructType([*rows.schema, T.StructField("_d", T.BinaryType())]))
+    return rows.mapInArrow(tidy(go), T.StructType([*rows.schema, T.StructField("_d", T.BinaryType())]))
 
 
 def _giant(docs: DataFrame, text: str, path: str, giant: int, chunk: int) -> DataFrame | None:
@@ -441,7 +453,7 @@ def decode(df: DataFrame, model: str, *, ids: str = "ids", text: str = "decoded"
             back = sp.decode([x or [] for x in lists], num_threads=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else y for x, y in zip(lists, back)], pa.string())], names=[*names, text])
 
-    return back_(df.mapInArrow(go, T.StructType([*df.schema, T.StructField(text, T.StringType())])))
+    return back_(df.mapInArrow(tidy(go), T.StructType([*df.schema, T.StructField(text, T.StringType())])))
 
 
 def digest_rows(docs: DataFrame, model: str, *, id_col: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, isolate, pick, ship, written
+from ._shared import forget, isolate, pick, ship, tidy, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -71,7 +71,7 @@ def with_size(docs: DataFrame, text: str, keep: list[str], size: str, squeeze_to
                 arrays.append(pa.array(z, pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(go, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(tidy(go), schema)
 
 
 def source_key(c: Column) -> Column:
@@ -226,7 +226,7 @@ def _flight(df: DataFrame, last: bool) -> DataFrame:
         settle()
         yield from release(None)
 
-    return df.mapInArrow(go, df.schema)
+    return df.mapInArrow(tidy(go), df.schema)
 
 
 def _decide(rows: DataFrame, n_rows: int, skey_sizes: DataFrame) -> DataFrame:
@@ -286,4 +286,4 @@ def resample(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sou
             t = pa.RecordBatch.from_arrays([text_col if c == text else b.column(keep.index(c)) for c in names], names=names)
             yield t.take(pa.array(np.repeat(np.arange(len(b)), b.column(len(keep) + 1).to_numpy())))
 
-    return back(out.mapInArrow(go, schema))
+    return back(out.mapInArrow(tidy(go), schema))

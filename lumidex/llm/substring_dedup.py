@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, isolate, pick, ship, written
+from ._shared import forget, isolate, pick, ship, tidy, written
 
 WINDOW = 35
 M = 8
@@ -116,7 +116,7 @@ def _keyed(docs: DataFrame, text: str, window: int, m: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t1), pa.nulls(k, pa.binary())], names=["key", "t1", "tid"])
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(tids, pa.binary())], names=["key", "t1", "tid"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(go, "key long, t1 long, tid binary")
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(go), "key long, t1 long, tid binary")
 
 
 def _packed_texts(docs: DataFrame, text: str, window: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _packed_texts(docs: DataFrame, text: str, window: int) -> DataFrame:
                     z.append(squeeze(raw))
                 yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(z, pa.binary())], names=["t1", "z"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(go, "t1 long, z binary")
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(go), "t1 long, z binary")
 
 
 _SUPER = "key long, tid binary, at int, n int, hot boolean, packed binary"
@@ -187,7 +187,7 @@ def _super_kmers(matched: DataFrame, window: int, m: int) -> DataFrame:
                         [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["key", "tid", "at", "n", "hot", "packed"]
                     )
 
-    return matched.select("z", "keys", "hots").mapInArrow(go, _SUPER)
+    return matched.select("z", "keys", "hots").mapInArrow(tidy(go), _SUPER)
 
 
 def count_bucket(key: np.ndarray, packed: list[bytes], window: int) -> np.ndarray:
@@ -305,7 +305,7 @@ def _buckets(rows: DataFrame, window: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.select("key", "tid", "at", "n", "packed").mapInArrow(go, "tid binary, a int, b int")
+    return rows.select("key", "tid", "at", "n", "packed").mapInArrow(tidy(go), "tid binary, a int, b int")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", *, window: int = WINDOW, m: int = M, hot: int = HOT) -> DataFrame:
@@ -353,7 +353,7 @@ def _with_tid(docs: DataFrame, text: str) -> DataFrame:
             z = [x if ok else None for x, ok in zip(z, valid)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names)) if i != at] + [pa.array(tid, pa.binary()), pa.array(z, pa.binary())], names=out_names)
 
-    return docs.mapInArrow(go, schema)
+    return docs.mapInArrow(tidy(go), schema)
 
 
 def _joined(docs: DataFrame, text: str, window: int, m: int, hot: int) -> DataFrame:
@@ -410,7 +410,7 @@ def _finish(joined: DataFrame, keep: list[str], window: int, schema: T.StructTyp
                 arrays = [b.column(i) for i in range(k)] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(go, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(tidy(go), schema)
 
 
 def _kept(w: W.Words, gone: np.ndarray, d: int, raw: bytes) -> list[bytes]:

@@ -51,7 +51,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import _words as W
-from ._shared import forget, fresh, local_path, pick, ship, written
+from ._shared import forget, fresh, local_path, pick, ship, tidy, written
 
 ROLL, MASK, MIN, MAX = 16, 255, 64, 2048
 DIGEST = 16
@@ -231,7 +231,7 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, packs: int, width: int
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["p", "name", "ids", "doc_id", "n_tokens", "recipe"])
 
-    return docs.mapInArrow(go, _ROWS)
+    return docs.mapInArrow(tidy(go), _ROWS)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -282,7 +282,7 @@ def _write_packs(rows: DataFrame, root: str, width: int) -> DataFrame:
                 state["last"], state["ids"] = name, ids
         close()
 
-    return rows.mapInArrow(go, "doc_id long, n_tokens long, recipe binary")
+    return rows.mapInArrow(tidy(go), "doc_id long, n_tokens long, recipe binary")
 
 
 _PART = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("start", pa.int64()), ("recipe", pa.binary()), ("leaf", pa.binary())])
@@ -319,7 +319,7 @@ def _write_recipes(ordered: DataFrame, root: str) -> DataFrame:
             os.replace(f"{stem}.root.{tag}", f"{stem}.root")
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([tree.root()], pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
 
-    return ordered.mapInArrow(go, "part int, n_docs long, n_tokens long, root binary")
+    return ordered.mapInArrow(tidy(go), "part int, n_docs long, n_tokens long, root binary")
 
 
 def write_store(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text: str = "text", end_id: int = 2, root: str | None = None, packs: int | None = None) -> str:
@@ -431,7 +431,7 @@ def read_store(spark: SparkSession, root: str, each: Callable[[np.ndarray], obje
                 if tree.root().hex() != want:
                     raise ValueError(f"part {part} does not match its root")
 
-    return parts.mapInArrow(go, schema)
+    return parts.mapInArrow(tidy(go), schema)
 
 
 def crc32(ids: np.ndarray) -> int:

@@ -32,7 +32,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import fresh, local_path, pick, ship, written
+from ._shared import fresh, local_path, pick, ship, tidy, written
 
 SCALE = 256
 DIMS = 16
@@ -144,7 +144,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id", ve
         if n:
             yield from against(pa.Table.from_batches(held))
 
-    found = table.mapInArrow(go, "query_id long, query_row long, vec_id long, score long")
+    found = table.mapInArrow(tidy(go), "query_id long, query_row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

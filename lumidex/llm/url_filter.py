@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh, local_path, pick, ship
+from ._shared import fresh, local_path, pick, ship, tidy
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -134,7 +134,7 @@ def judge(pages: DataFrame, *, blocklist: Iterable[str] | str = BLOCKLIST, id_co
             verdict = [v or ("block" if x else "allow") for v, x in zip(b.column(4).to_pylist(), blocked.tolist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdict, pa.string())], names=b.schema.names)
 
-    return cut.mapInArrow(go, cut.schema)
+    return cut.mapInArrow(tidy(go), cut.schema)
 
 
 ORACLE = f"""
