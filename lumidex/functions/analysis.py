@@ -155,6 +155,10 @@ class Analyzer:
     kind: str  # text, keyword, int, float, date
     column: Callable[[Column], Column]
     local: Callable[[str], list]
+    #: Where every word gives one token: the words of a text, and a word's token.  Exploded words are
+    #: then stemmed in generated code, which lambdas over arrays are not.
+    words: Callable[[Column], Column] | None = None
+    token: Callable[[Column], Column] | None = None
 
 
 def _text(name: str, language: str, stops: bool) -> Analyzer:
@@ -169,7 +173,9 @@ def _text(name: str, language: str, stops: bool) -> Analyzer:
         stems = [_stem(w, language) for w in split_words(s)]
         return [t for t in stems if t not in out] if stops else stems
 
-    return Analyzer(name, "text", column, local)
+    if stops:
+        return Analyzer(name, "text", column, local)
+    return Analyzer(name, "text", column, local, lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda w: _stem_column(w, language))
 
 
 def _stem_column(w: Column, language: str) -> Column:

@@ -87,14 +87,19 @@ def postings(df: DataFrame, specs: Iterable[FieldSpec]) -> DataFrame:
         kind = s.rules.kind
         if kind in ("text", "keyword"):
             col = F.col(f"`{s.source}`")
-            if many:
+            stem = s.rules.token if kind == "text" and not many else None
+            if stem:
+                toks = s.rules.words(col)
+            elif many:
                 toks = F.flatten(F.transform(col, s.rules.column)) if kind == "text" else col
             else:
                 toks = s.rules.column(col)
             rows = df.where(col.isNotNull()).select("doc_idx", toks.alias("t"))
-            if kind == "text":
+            if kind == "text" and not stem:
                 rows = rows.select("doc_idx", F.filter("t", lambda x: x != "").alias("t"))
             rows = rows.where(F.size("t") > 0).select("doc_idx", F.size("t").alias("dl"), F.explode("t").alias("term"))
+            if stem:
+                rows = rows.select("doc_idx", "dl", stem(F.col("term")).alias("term"))
             if kind == "keyword" and not many:
                 rows = rows.withColumn("tf", F.lit(1))
             else:
