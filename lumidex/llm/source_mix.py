@@ -45,7 +45,7 @@ from ._shared import forget, isolate, pick, ship, tidy, written
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
-BLOCK = 20_000
+BLOCK = 4_000
 FAN = 1000
 #: Exchanges of a taken for an untaken document that may end a landing.
 EXCHANGES = 16
