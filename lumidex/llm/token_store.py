@@ -55,6 +55,8 @@ from ._shared import forget, fresh, local_path, pick, ship, tidy, written
 
 ROLL, MASK, MIN, MAX = 16, 255, 64, 2048
 DIGEST = 16
+#: Bytes of text whose unknown words enter the table at once; each entry costs a copy of the table.
+LEARN = 1 << 21
 #: Words a worker remembers with their ids.
 CACHE = 1 << 21
 #: Chunk names a task remembers, so that copies are sent once.
@@ -120,7 +122,7 @@ class WordEncoder:
                 ids = np.array(self.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids, dtype=np.uint32)
                 yield i, ids, np.array([0, len(ids)])
             return
-        for w in W.scan(column):
+        for w in W.scan(column, block=LEARN):
             uniq, first, inv = np.unique(w.hashes, return_index=True, return_inverse=True)
             at = np.searchsorted(self.key, uniq)
             known = np.zeros(len(uniq), dtype=bool)
