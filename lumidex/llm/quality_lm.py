@@ -6,8 +6,12 @@ digits are one class) of all trusted rows, a model a language.  A character is
 masks of it.  Count tables are joined by (language, context) and (language,
 suffix) to probabilities and back-off weights, order by order; these go to a
 sharded table that workers map.  A document's perplexity is that of its
-characters and its end.  It is kept if that does not exceed its language's
-threshold: the ``quantile`` of the trusted rows' perplexities times ``slack``.
+characters and its end; its worst perplexity is that of its worst run of WINDOW
+of them.  It is kept if neither exceeds its language's threshold, the
+``quantile`` of the trusted rows' values.  A model likes what it learnt from, so
+trusted rows are judged, and thresholds taken, by models that left them out: one
+for each of FOLDS parts, to which rows go by their text, so copies stay together.
+The perplexity that is given is that of the model of all trusted rows.
 
 Scale: tasks sum counts of whole batches before they shuffle them, so what
 travels is distinct n-grams, not occurrences; the tables are sharded by key
@@ -17,7 +21,9 @@ text is shuffled, whatever the number of labels.
 
 Defined cases: text null or without characters: perplexity null, not kept.  A
 language (null is one) with fewer than MIN_TRUSTED trusted rows: threshold null,
-kept.  Repeated rows count as often as they occur.  A row with several labels is
+kept.  A trusted row whose language has no trusted text outside its part is
+judged by the model of all, and no threshold is taken from it.  Repeated rows
+count as often as they occur.  A row with several labels is
 trusted if all of them say so.  Empty tables are fine.  Other columns are
 ignored.
 """
@@ -42,7 +48,10 @@ VOCABULARY = 1 << BITS
 PAD, END = 0, 3
 GATHER = 1 << 21
 MIN_TRUSTED = 20
-QUANTILE, SLACK = 0.99, 1.15
+QUANTILE = 0.99
+FOLDS = 4
+#: Characters of a run that is judged by itself: a word or two in bad prose.
+WINDOW = 16
 
 
 def _mask(n: int) -> int:
@@ -116,7 +125,7 @@ def _among(table: Sharded, ids: pa.Array) -> np.ndarray:
 
 
 def _count(rows: DataFrame, trusted: tuple[str, int, int]) -> DataFrame:
-    """rows: id, lang, text.  (lang, g, c): counts of ORDER-grams in the rows whose id the table ``trusted`` holds."""
+    """rows: id, lang, text, with the fold as first character of lang.  (lang, g, c): counts of ORDER-grams in the rows whose id the table ``trusted`` holds."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -196,20 +205,38 @@ def _key(g: np.ndarray, lang: int, n: int, kind: int) -> np.ndarray:
 
 
 class Model:
-    """Languages of the model (keys) and the handle of its table."""
+    """Keys of the models (ALL or the fold that was left out, and the language), the handle of their table and that of the trusted ids."""
 
-    def __init__(self, langs: list[str], table: tuple | None) -> None:
-        self.langs, self.table = langs, table
+    def __init__(self, langs: list[str], table: tuple | None, trusted: tuple) -> None:
+        self.langs, self.table, self.trusted = langs, table, trusted
+
+
+ALL = "a"
+
+
+def _fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("string")
+
+
+def _leave_out(counts: DataFrame) -> DataFrame:
+    """Counts by fold and language to those of all folds (ALL) and of all folds but one."""
+    fold = F.substring("lang", 1, 1)
+    models = F.filter(F.array(F.lit(ALL), *[F.lit(str(k)) for k in range(FOLDS)]), lambda m: m != fold)
+    rows = counts.select(F.explode(models).alias("m"), F.substring("lang", 2, 1 << 30).alias("lang"), "g", "c")
+    return rows.groupBy(F.concat("m", "lang").alias("lang"), "g").agg(F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from the rows of docs whose id is in ``ids`` (one column of longs, distinct)."""
     ship(docs.sparkSession)
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), _lang(F.col(f"`{lang}`")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    counts = written(_count(rows, _id_keys(ids, "trusted")), "grams")
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.concat(_fold(F.col(f"`{text}`")), _lang(F.col(f"`{lang}`"))).alias("lang"), F.col(f"`{text}`").alias("text"))
+    trusted = _id_keys(ids, "trusted")
+    folds = written(_count(rows, trusted), "folds")
+    counts = written(_leave_out(folds), "grams")
+    forget(folds)
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # a row a language
     if not langs:
-        return Model([], None)
+        return Model([], None, trusted)
     rows, made = _tables(counts)
     where = {x: i for i, x in enumerate(langs)}
 
@@ -223,7 +250,7 @@ def train(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", text: str
     table = write_sharded(rows.mapInArrow(tidy(go), "key long, v double"), "key", ["v"], "model-kn")
     for t in [counts, *made]:
         forget(t)
-    return Model(langs, table)
+    return Model(langs, table, trusted)
 
 
 def log_probabilities(grams: np.ndarray, lang: int, table: Sharded) -> np.ndarray:
@@ -251,48 +278,76 @@ def log_probabilities(grams: np.ndarray, lang: int, table: Sharded) -> np.ndarra
     return out
 
 
-def score(docs: DataFrame, model: Model, keep: list[Column], *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``keep``, lang key, events (characters and end), logp of each row; logp is null without a model or characters."""
-    rows = docs.select(*keep, _lang(F.col(f"`{lang}`")).alias("_lang"), F.col(f"`{text}`").alias("_text"))
-    k = len(rows.columns) - 2
+def _worst(surprise: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Greatest mean of WINDOW values on end in each row; the mean of a shorter row.  Rows are not empty."""
+    total = np.append(0, np.cumsum(surprise))
+    size = np.diff(bounds)
+    mean = np.full(len(surprise), -np.inf)
+    if len(surprise) >= WINDOW:
+        mean[: len(surprise) - WINDOW + 1] = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+    mean[np.arange(len(surprise)) + WINDOW > np.repeat(bounds[1:], size)] = -np.inf
+    return np.where(size < WINDOW, (total[bounds[1:]] - total[bounds[:-1]]) / size, np.maximum.reduceat(mean, bounds[:-1]))
+
+
+def score(docs: DataFrame, model: Model, keep: list[Column], *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``keep``, lang key, events (characters and end), logp of each row, and what it is judged by: own (logp), worst
+    (of a run, by event), left_out (from a model that left this trusted row out).  logp, own and worst are null without
+    a model or characters."""
+    rows = docs.select(*keep, _lang(F.col(f"`{lang}`")).alias("_lang"), F.col(f"`{id_col}`").cast("long").alias("_id"), _fold(F.col(f"`{text}`")).alias("_fold"), F.col(f"`{text}`").alias("_text"))
+    k = len(rows.columns) - 4
     where = {x: i for i, x in enumerate(model.langs)}
-    handle = model.table
-    names = rows.columns[: k + 1] + ["events", "logp"]
+    handle, trusted = model.table, model.trusted
+    names = rows.columns[: k + 1] + ["events", "logp", "own", "worst", "left_out"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Sharded(handle) if handle else None
+        table, ids = Sharded(handle) if handle else None, Sharded(trusted)
         for b in batches:
-            langs = np.array([where.get(x, -1) for x in b.column(k).to_pylist()], dtype=np.int64)
-            events, logp = np.zeros(len(b), dtype=np.int64), np.full(len(b), np.nan)
-            for first, gram, bounds in _pieces(b.column(k + 1)):
+            langs, folds = b.column(k).to_pylist(), b.column(k + 2).to_pylist()
+            among = _among(ids, b.column(k + 1))
+            every = np.array([where.get(ALL + x, -1) for x in langs], dtype=np.int64)
+            other = np.array([where.get((f or "") + x, -1) if t else -1 for x, f, t in zip(langs, folds, among)], dtype=np.int64)
+            events, value = np.zeros(len(b), dtype=np.int64), np.full((3, len(b)), np.nan)
+            for first, gram, bounds in _pieces(b.column(k + 3)):
                 size = np.diff(bounds)
-                own = langs[first : first + len(size)]
-                events[first : first + len(size)] = size - 1
+                at = slice(first, first + len(size))
+                events[at] = size - 1
                 row = np.repeat(np.arange(len(size)), size)
-                for lang in set(own.tolist()) - {-1}:
-                    at = np.flatnonzero(np.repeat(own == lang, size))
-                    uniq, inv = np.unique(gram[at], return_inverse=True)
-                    total = np.bincount(row[at], weights=log_probabilities(uniq, lang, table)[inv], minlength=len(size))
-                    mine = np.flatnonzero((own == lang) & (size > 1))
-                    logp[first + mine] = total[mine]
-            yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], pa.array(events), pa.array(logp, from_pandas=True)], names=names)
-
-    schema = T.StructType([*rows.schema.fields[: k + 1], T.StructField("events", T.LongType()), T.StructField("logp", T.DoubleType())])
+                surprise = np.zeros(len(gram))
+                for turn, own in enumerate((every[at], other[at])):
+                    for lang in set(own.tolist()) - {-1}:
+                        here = np.flatnonzero(np.repeat(own == lang, size))
+                        uniq, inv = np.unique(gram[here], return_inverse=True)
+                        surprise[here] = -log_probabilities(uniq, lang, table)[inv]
+                    mine = np.flatnonzero((own >= 0) & (size > 1))
+                    total = -np.bincount(row, weights=surprise, minlength=len(size))
+                    for v in value[turn:2]:
+                        v[first + mine] = total[mine]
+                mine = np.flatnonzero((every[at] >= 0) & (size > 1))
+                value[2, first + mine] = _worst(surprise, bounds)[mine]
+            yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], pa.array(events), *[pa.array(v, from_pandas=True) for v in value], pa.array((other >= 0) & (events > 0))], names=names)
+
+    double = [T.StructField(x, T.DoubleType()) for x in ("logp", "own", "worst")]
+    schema = T.StructType([*rows.schema.fields[: k + 1], T.StructField("events", T.LongType()), *double, T.StructField("left_out", T.BooleanType())])
     return rows.mapInArrow(tidy(go), schema)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """Per row: id, n_chars_scored, perplexity, threshold, kept.  ``trusted``: one column, ids of trusted rows, distinct."""
+def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """Per row: id, n_chars_scored, perplexity, threshold, worst_perplexity, worst_threshold, kept.
+
+    ``trusted``: one column, ids of trusted rows, distinct.  A trusted row's worst
+    perplexity, and its perplexity in the verdict, are of the model that left it out.
+    """
     ship(docs.sparkSession)
     docs, ids = pick(docs, id_col, text, lang), trusted.toDF("id")
     model = train(docs, ids, id_col=id_col, text=text, lang=lang)
-    scored = written(score(docs, model, [F.col(f"`{id_col}`").cast("long").alias("id")], text=text, lang=lang), "scores")
-    scored = scored.withColumn("perplexity", F.exp(-F.col("logp") / (F.col("events") + 1)))
-    limit = scored.join(ids, "id", "left_semi").where("perplexity is not null").groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", quantile, 10000).alias("q"))
-    limit = written(limit.select("_lang", F.when(F.col("n") >= MIN_TRUSTED, F.col("q") * slack).alias("threshold")), "limits")
+    scored = written(score(docs, model, [F.col(f"`{id_col}`").cast("long").alias("id")], id_col=id_col, text=text, lang=lang), "scores")
+    scored = scored.withColumns({x: F.exp(-F.col(y) / (F.col("events") + 1)) for x, y in (("perplexity", "logp"), ("judged", "own"))}).withColumn("worst", F.exp("worst"))
+    limit = scored.where("left_out").groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, quantile, 10000).alias(f"q_{x}") for x in ("judged", "worst")])
+    limit = written(limit.select("_lang", *[F.when(F.col("n") >= MIN_TRUSTED, F.col(f"q_{x}")).alias(y) for x, y in (("judged", "threshold"), ("worst", "worst_threshold"))]), "limits")
     out = scored.join(limit, "_lang", "left")
-    kept = (F.col("events") > 0) & (F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return out.select(F.col("id").alias(id_col), F.col("events").alias("n_chars_scored"), "perplexity", "threshold", kept.alias("kept"))
+    good = (F.col("judged") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold"))
+    kept = (F.col("events") > 0) & (F.col("perplexity").isNull() | F.col("threshold").isNull() | good)
+    return out.select(F.col("id").alias(id_col), F.col("events").alias("n_chars_scored"), "perplexity", "threshold", F.col("worst").alias("worst_perplexity"), "worst_threshold", kept.alias("kept"))
 
 
 def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -464,6 +464,35 @@ def test_quality_labels(spark, odd):
     assert Counter(r.kept for r in got) == Counter(bool((t or "").strip()) for _, t in pairs(odd))
 
 
+def test_some_bad_words_in_good_prose_are_found(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("aeionrst"), 5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, 150)) for _ in range(260)]
+    bad = [t.replace(" ", " wuckyqwk ", 1) for t in texts[220:]]  # one word of 150
+    rows = [(i, t, "en") for i, t in enumerate([*texts[:220], *bad])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_lm.classify(df, spark.range(200)).collect()}
+    assert not any(got[i].kept for i in range(220, 260))
+    assert sum(got[i].kept for i in range(200, 220)) >= 17 and sum(got[i].kept for i in range(200)) >= 194
+
+
+def test_thresholds_come_from_models_that_left_the_row_out(spark):
+    rng = np.random.default_rng(9)
+    own = ["".join(rng.choice(list("abcdefgh"), 30)) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(own)], "doc_id long, text string, lang string")
+    got = quality_lm.classify(df, spark.range(80)).collect()
+    assert all(r.threshold > 1.3 * r.perplexity for r in got)  # the model has learnt these rows by heart
+    assert sum(r.kept for r in got) >= 78
+
+
+def test_worst_run():
+    rng = np.random.default_rng(10)
+    rows = [rng.random(n) for n in (1, 15, 16, 17, 90, 3)]
+    n = quality_lm.WINDOW
+    want = [max(x[i : i + n].mean() for i in range(max(1, len(x) - n + 1))) for x in rows]
+    assert quality_lm._worst(np.concatenate(rows), np.cumsum([0, *map(len, rows)])) == pytest.approx(want)
+
+
 # --- sentencepiece
 
 
