@@ -6,13 +6,13 @@ longest length, 5 to 1, of which any is known: it scores by their mean.  The
 language of the greatest sum wins, the more frequent one at ties.
 
 Words are runs of ASCII letters and non-ASCII characters of the lower-cased text.
-A word is known if it was counted MIN_COUNT times and makes up at least
-MIN_SHARE of the training words; n-grams are counted over all training words.
+A word or n-gram is known if it was counted MIN_COUNT times, however many
+training words there are; n-grams are counted over all training words.
 
 Scale: tasks count words in batches before they shuffle them; n-grams come from
 the table of distinct words, not from the texts; the model is a sharded table of
-64-bit keys that workers map, so nothing is broadcast.  MIN_SHARE bounds the
-model whatever the corpus.
+64-bit keys that workers map, so nothing is broadcast and it may grow with the
+corpus: a language keeps its words however little of the corpus it is.
 
 Defined cases: text null or without a letter: ``und``, score 0.  With no
 training rows at all every row is ``und``.  Texts of unknown scripts go to the
@@ -37,7 +37,6 @@ from ._shared import forget, pick, ship, tidy, written
 from ._tables import Sharded, write_sharded
 
 MIN_COUNT = 3
-MIN_SHARE = 2e-8
 ORDERS = (5, 4, 3, 2, 1)
 ALPHA = 0.5
 #: Weight of an unknown word beside a known one.
@@ -185,15 +184,14 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
     words = written(_word_counts(rows, langs), "words")
     total = words.agg(F.count(F.lit(1)).alias("v"), *[F.sum(c).alias(c) for c in cols]).first()
     sums = [float(total[c] or 0) for c in cols]
-    floor = max(MIN_COUNT, MIN_SHARE * sum(sums))
 
     def logs(v: float, t: list) -> list[Column]:
         return [F.log((F.col(c) + ALPHA) / F.lit(x + ALPHA * v)).alias(f"v{i}") for i, (c, x) in enumerate(zip(cols, t))]
 
     count = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
-    known = words.where(count >= floor).select("word", *logs(float(total["v"]), sums))
+    known = words.where(count >= MIN_COUNT).select("word", *logs(float(total["v"]), sums))
     word_table = write_sharded(_hashed(known, len(langs)), "key", [f"v{i}" for i in range(len(langs))], "model-words")
-    grams = written(_gram_counts(words, len(langs)).where(count >= floor), "grams")
+    grams = written(_gram_counts(words, len(langs)).where(count >= MIN_COUNT), "grams")
     by_order = {r["o"]: r for r in grams.groupBy("o").agg(F.count(F.lit(1)).alias("v"), *[F.sum(c).alias(c) for c in cols]).collect()}  # a row an order
     value = [F.lit(0.0)] * len(langs)
     for o, r in by_order.items():

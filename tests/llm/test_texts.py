@@ -399,6 +399,20 @@ def test_language_backs_off_to_shorter_grams(spark):
     assert [x for x, _ in got] == ["en", "de", model.langs[0], "en", "und", "und"] and got[2][1] == pytest.approx(0.5)
 
 
+def test_a_rare_language_keeps_its_words_in_a_huge_corpus(spark, monkeypatch):
+    """Counts as of a corpus of 4e9 words: the rare language's words, counted 10 times, stay known."""
+    counts = language_id._word_counts
+    huge = lambda rows, langs: counts(rows, langs).selectExpr("word", f"c0 * {10**8} AS c0", "c1")
+    monkeypatch.setattr(language_id, "_word_counts", huge)
+    train = [("the thing there then", "en")] * 11 + [("thena therea", "xx")] * 10
+    model = language_id.train(spark.createDataFrame(train, "text string, lang string"))
+    assert model.langs == ["en", "xx"]
+    keys = [W.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])) for w in (b"then", b"thena", b"therea")]
+    assert all(language_id.Sharded(model.words).lookup(k)[0].all() for k in keys)
+    ask = spark.createDataFrame([("thena",), ("then",)], "text string")
+    assert [r.lang_pred for r in language_id.predict(ask, model, []).collect()] == ["xx", "en"]
+
+
 # --- quality classifier
 
 
