@@ -16,8 +16,9 @@ is combined before it is shuffled.  No group is ever gathered.
 Defined cases: null text counts as empty (no words, base_failed).  Null lang or
 source is a group of its own.  A (lang, source) group with fewer than
 ``MIN_GROUP`` eligible documents is pooled with the other small groups of its
-language; where even that pool is smaller, nothing is rejected beyond the base
-rules.  Repeated rows are judged one by one, alike.  An empty table gives an
+language; where that pool is smaller, it is judged by the estimate of the whole
+language, and where that is smaller, of all languages.  Only a table with fewer
+eligible documents is not judged beyond the base rules.  Repeated rows are judged one by one, alike.  An empty table gives an
 empty result.  Other columns, whatever their names, are ignored by
 :func:`judge` and returned untouched by :func:`keep_good`.
 """
@@ -39,6 +40,8 @@ from ._shared import forget, isolate, pick, ship, tidy, written
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 60
+#: Estimates of a whole language and of all; keys of languages and sources begin otherwise.
+WHOLE, EVERY = "**", "***"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Transformed statistics, the smallest spread each of them is credited with.
 VECTOR = (
@@ -249,14 +252,22 @@ def _grouped(df: DataFrame, lang: str, source: str, prefix: str) -> DataFrame:
 
 
 def fit_stats(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
-    """Estimates for every (lang, source) of a statistics table: gl, gs, centre, inverse scatter; too small groups are absent."""
+    """Estimates for every (lang, source) of a statistics table: gl, gs, centre, inverse scatter; absent if the whole table is too small."""
     ok = _grouped(stats.where(~base_failed(prefix)), lang, source, prefix).select("gl", "gs", *[f"x{i}" for i in range(DIM)])
-    sizes = ok.groupBy("gl", "gs").agg(F.count(F.lit(1)).alias("n"))
-    pool = sizes.withColumn("pool", F.when(F.col("n") >= MIN_GROUP, F.col("gs")).otherwise(F.lit("*")))
-    enough = pool.groupBy("gl", "pool").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_GROUP)
-    pool = written(pool.join(enough, ["gl", "pool"]).select("gl", "gs", "pool"), "pool")
-    params = fit(ok.join(pool, ["gl", "gs"]).drop("gs").withColumnRenamed("pool", "gs"))
-    return written(pool.join(params.withColumnRenamed("gs", "pool"), ["gl", "pool"]).drop("pool"), "mcd")
+    sizes = written(ok.groupBy("gl", "gs").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    n = F.col("n")
+    by = sizes.groupBy("gl").agg(F.sum("n").alias("whole"), F.sum(F.when(n < MIN_GROUP, n)).alias("small"))
+    every = sizes.agg(F.sum("n")).first()[0] or 0
+    of = F.when(n >= MIN_GROUP, F.col("gs")).when(F.col("small") >= MIN_GROUP, "*").when(F.col("whole") >= MIN_GROUP, WHOLE).when(F.lit(every >= MIN_GROUP), EVERY)
+    pool = sizes.join(by, "gl").withColumn("ms", of).where("ms is not null").withColumn("ml", F.when(F.col("ms") == EVERY, "*").otherwise(F.col("gl")))
+    pool = written(pool.select("gl", "gs", "ml", "ms"), "pool")
+    feed = pool.where(~F.col("ms").isin(WHOLE, EVERY))
+    for ms, ml, key in ((WHOLE, F.col("gl"), ["gl"]), (EVERY, F.lit("*"), [])):
+        asked = pool.where(F.col("ms") == ms).select("ml", *key).distinct()  # estimates of these take every source
+        feed = feed.unionByName((pool.join(asked.select(*key), key, "left_semi") if key else pool.select("gl", "gs").crossJoin(asked)).select("gl", "gs", ml.alias("ml"), F.lit(ms).alias("ms")))
+    feed = written(feed, "feed")
+    params = fit(ok.join(feed, ["gl", "gs"]).drop("gl", "gs").withColumnsRenamed({"ml": "gl", "ms": "gs"}))
+    return written(pool.join(params.withColumnsRenamed({"gl": "ml", "gs": "ms"}), ["ml", "ms"]).drop("ml", "ms"), "mcd")
 
 
 def verdict(df: DataFrame, params: DataFrame, cutoff: float, lang: str, source: str, prefix: str) -> DataFrame:

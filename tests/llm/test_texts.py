@@ -125,6 +125,27 @@ def test_outliers_match_brute_force(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_small_groups_are_judged_by_the_language_and_by_all(spark):
+    """The only small source of a language, and a language of few documents."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for lang, source, n in (("en", "a", 150), ("en", "b", 20), ("de", "c", 10), ("de", "d", 9)):
+        for i in range(n):
+            ws = [f"w{rng.integers(3000)}" for _ in range(int(rng.integers(60, 400)))]
+            if i % 9 == 4:
+                ws = [w + "$$$&&&" for w in ws]
+            rows.append((len(rows), " ".join(ws), lang, source, i % 9 == 4))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {r[0] for r in rows if r[4]}
+    vectors = _vectors([brute_stats(r[1]) for r in rows])
+    for part, of in (("b", lambda r: r[2] == "en"), ("cd", lambda r: True)):
+        use = [i for i, r in enumerate(rows) if of(r)]
+        for i, d in zip(use, brute_mcd(vectors[use])):
+            if rows[i][3] in part:
+                assert got[i].distance2 == pytest.approx(d, rel=0.02, abs=0.02)
+
+
 # --- substring dedup
 
 
