@@ -20,8 +20,9 @@ Steps, each a distributed job:
    128-bit digest and is counted by partial aggregation, so no task sees them all.
 3. Repeated spans return to their texts, keyed by a 128-bit digest of the text.
 
-Copies: a text that occurs twice as a whole has only repeated windows; it packs
-its super-k-mers once per task, however many copies there are.
+Copies: a text that occurs twice as a whole has only repeated windows; it lists
+and packs its super-k-mers once per task, however many copies there are, and
+the minimisers that reach it are a set.
 
 Defined cases: null text has no words.  A text with fewer than WINDOW words
 loses nothing.  Repeated rows lose all words, if they have a window at all.
@@ -103,15 +104,23 @@ def _texts(w: W.Words) -> Iterator[bytes]:
 
 
 def _keyed(docs: DataFrame, text: str, window: int, m: int) -> DataFrame:
-    """A row (minimiser, first half of the text's digest, null) per super-k-mer and a row (null, null, digest) per text."""
+    """A row (minimiser, first half of the text's digest, null) per super-k-mer and a row (null, null, digest) per text.
+
+    A copy of a text that the task has met gives the latter row only: all its
+    windows are repeated anyway, and its partners have met the first.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, None] = {}
         for b in batches:
             for w in W.scan(b.column(0)):
                 key, at, _, again = _minimisers(w.hashes, w.bounds, window, m)
                 key, at = np.append(key, key[again]), np.append(at, at[again])
                 tids = [_text_key(raw) for raw in _texts(w)]
-                t1 = np.frombuffer(b"".join(tids), dtype=np.int64)[::2][np.searchsorted(w.bounds, at, side="right") - 1]
+                doc = np.searchsorted(w.bounds, at, side="right") - 1
+                new = _first_met(tids, seen)
+                key, doc = key[new[doc]], doc[new[doc]]
+                t1 = np.frombuffer(b"".join(tids), dtype=np.int64)[::2][doc]
                 k, n = len(key), len(tids)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t1), pa.nulls(k, pa.binary())], names=["key", "t1", "tid"])
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(tids, pa.binary())], names=["key", "t1", "tid"])
@@ -119,6 +128,19 @@ def _keyed(docs: DataFrame, text: str, window: int, m: int) -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(go), "key long, t1 long, tid binary")
 
 
+def _first_met(tids: list[bytes], seen: dict[bytes, None]) -> np.ndarray:
+    """Whether each digest is not yet among ``seen``, which keeps the last SEEN."""
+    new = np.ones(len(tids), dtype=bool)
+    for i, tid in enumerate(tids):
+        if tid in seen:
+            new[i] = False
+            continue
+        if len(seen) >= SEEN:
+            seen.pop(next(iter(seen)))
+        seen[tid] = None
+    return new
+
+
 def _packed_texts(docs: DataFrame, text: str, window: int) -> DataFrame:
     """(t1, compressed text) of texts with a window; a copy seen before in the same task is left out."""
 
@@ -308,6 +330,17 @@ def _buckets(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("key", "tid", "at", "n", "packed").mapInArrow(tidy(go), "tid binary, a int, b int")
 
 
+def _shared_minimisers(light: DataFrame, hot: int) -> DataFrame:
+    """light: (key, t1), a row per super-k-mer.  Per text, the set of its keys that occur twice or more, and whether each is hot.
+
+    A set: tasks combine the copies of a text before they shuffle, and what
+    arrives is no longer than the text, however many copies there are.
+    """
+    often = light.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
+    mine = light.join(often, "key").groupBy("t1").agg(F.collect_set(F.struct("key", "hot")).alias("k"))
+    return mine.select("t1", F.col("k.key").alias("keys"), F.col("k.hot").alias("hots"))
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", *, window: int = WINDOW, m: int = M, hot: int = HOT) -> DataFrame:
     """Per text that has any: tid (128-bit digest of the text), whole (several rows have it), spans of repeated windows.
 
@@ -317,9 +350,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", *, window: int = WINDOW,
     both = written(_keyed(docs, text, window, m), "minimisers")
     light = both.where("key is not null").select("key", "t1")
     copies = both.where("tid is not null").groupBy("tid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tid", F.lit(True).alias("whole"))
-    often = light.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (F.col("c") > hot).alias("hot"))
-    mine = light.join(often, "key").groupBy("t1").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hots"))
-    matched = _packed_texts(docs, text, window).join(mine, "t1")
+    matched = _packed_texts(docs, text, window).join(_shared_minimisers(light, hot), "t1")
     supers = written(_super_kmers(matched, window, m), "superkmers", by="hot")
     normal = supers.where("not hot").repartition("key").sortWithinPartitions("key")
     spans = _buckets(normal, window)
