@@ -18,7 +18,9 @@ it less.
 
 Scale: blocks are drawn by a hash of the document and hold about BLOCK
 documents, however large a source is; a source that holds a third of all rows
-just lies in more of them.  Random choices are hashes of the document, so reruns agree.
+just lies in more of them.  Equal rows are numbered within their partition, so
+they spread over the blocks too.  Random choices are hashes of the document, so
+reruns over the same files agree.
 
 Defined cases: null text has size 0.  A null source is a source of its own.
 Repeated rows are documents of their own.  A source without words gets target 0
@@ -52,26 +54,38 @@ EXCHANGES = 16
 SEED = b"mix-1"
 
 
-def with_size(docs: DataFrame, text: str, keep: list[str], size: str, squeeze_to: str | None = None) -> DataFrame:
-    """``keep`` of docs, the number of words of ``text``, and the text compressed where asked for."""
+def with_size(docs: DataFrame, text: str, keep: list[str], size: str, same: list[str], squeeze_to: str | None = None) -> DataFrame:
+    """``keep`` of docs, the number of words of ``text``, a hash ``_h`` and the text compressed where asked for.
+
+    The hash is one of the columns ``same`` and of how many rows that agree in
+    them came before in the partition, so it tells equal rows apart: no more of
+    them share a hash than there are partitions.
+    """
     ship(docs.sparkSession)
-    extra = [T.StructField(size, T.LongType())] + ([T.StructField(squeeze_to, T.BinaryType())] if squeeze_to else [])
+    extra = [T.StructField(size, T.LongType()), T.StructField("_h", T.LongType())] + ([T.StructField(squeeze_to, T.BinaryType())] if squeeze_to else [])
     schema = T.StructType([docs.schema[c] for c in keep] + extra)
     names = [f.name for f in schema]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        met: dict[int, int] = {}
         for b in batches:
             column = b.column(len(keep))
             n = [np.diff(w.bounds) for w in W.scan(column, hashes=False)]
-            arrays = [b.column(i) for i in range(len(keep))] + [pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))]
+            h = b.column(len(keep) + 1).to_numpy()
+            before = np.zeros(len(h), dtype=np.uint64)
+            for i, x in enumerate(h.tolist()):
+                before[i] = met.get(x, 0)
+                met[x] = int(before[i]) + 1
+            h = W.mix(h.view(np.uint64) + before * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            arrays = [b.column(i) for i in range(len(keep))] + [pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), pa.array(h)]
             if squeeze_to:
                 data, off = W.string_buffers(column)
                 z = [squeeze(data[lo:hi].tobytes()) if ok else None for lo, hi, ok in zip(off[:-1].tolist(), off[1:].tolist(), column.is_valid().to_pylist())]
                 arrays.append(pa.array(z, pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(tidy(go), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"), F.xxhash64(*[F.col(f"`{c}`") for c in same]).alias("_same")).mapInArrow(tidy(go), schema)
 
 
 def source_key(c: Column) -> Column:
@@ -253,8 +267,8 @@ def _decide(rows: DataFrame, n_rows: int, skey_sizes: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame, id_col: str, text: str, source: str, keep: list[str], squeeze_to: str | None) -> tuple[DataFrame, int, DataFrame]:
-    rows = with_size(docs, text, keep, "_size", squeeze_to)
-    rows = rows.select("*", source_key(F.col(f"`{source}`")).alias("skey"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{source}`"), F.col("_size")).alias("_h"))
+    rows = with_size(docs, text, keep, "_size", [id_col, source, text], squeeze_to)
+    rows = rows.select("*", source_key(F.col(f"`{source}`")).alias("skey"))
     rows = written(rows, "sizes")
     sizes = rows.groupBy("skey").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("n"))
     sizes = written(sizes, "sources")

@@ -190,6 +190,19 @@ def test_colliding_hashes_are_no_repeats(monkeypatch):
     assert got.tolist() == [True, False, False, False, False, True]
 
 
+def test_a_text_of_many_copies_gathers_its_keys_once(spark):
+    base = "w" + " w".join(map(str, range(400)))
+    docs = spark.range(0, 100_000, 1, 8).selectExpr("id doc_id", f"'{base}' text").unionByName(spark.createDataFrame([(-1, base[:1500] + " own tail")], "doc_id long, text string"))
+    light = substring_dedup._keyed(docs, "text", 35, 8).where("key is not null").select("key", "t1").cache()
+    assert light.count() < 9 * 400  # a task lists a text once
+    every = light.unionByName(light).unionByName(light)
+    longest = substring_dedup._shared_minimisers(every, 4096).selectExpr("max(size(keys)) n").first().n
+    assert longest <= light.select("key").distinct().count()
+    got = substring_dedup.dedup(docs).groupBy("n_words", "n_removed").count().collect()
+    cut = base[:1500].split()
+    assert {(r.n_words, r.n_removed, r["count"]) for r in got} == {(400, 400, 100_000), (len(cut) + 2, len(cut) - (cut[-1] != base.split()[len(cut) - 1]), 1)}
+
+
 def test_strip_keeps_columns_and_untouched_texts(odd):
     out = substring_dedup.strip(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -323,6 +336,17 @@ def test_mix(odd, docs, block, monkeypatch):
                 assert abs(k - t) <= (longest if block == 16 else 0.05 * t + 20)
 
 
+def test_equal_rows_spread_over_blocks(spark):
+    rows = spark.range(0, 100_000, 1, 8).selectExpr("cast(null as long) doc_id", "'a b c' text", "'s' source")
+    rows = rows.unionByName(spark.range(20_000).selectExpr("id doc_id", "concat('a b ', id % 5) text", "'t' source"))
+    sized, n, _ = source_mix._sized(rows, "doc_id", "text", "source", ["doc_id", "source"], None)
+    assert n == 120_000 and sized.groupBy("_h").count().selectExpr("max(count) m").first().m <= 8
+    first, again = (sorted(map(repr, source_mix.mix(rows).collect())) for _ in range(2))
+    assert first == again
+    got = source_mix.mix(rows).groupBy("source_size", "target").sum("taken").collect()
+    assert len(got) == 2 and all(abs(r["sum(taken)"] - r.target) <= 3 for r in got)
+
+
 def test_landing_is_balanced(spark):
     rows = [(i, "w " * (50 + i * 37 % 400), "s") for i in range(300)] + [(1000 + i, "w " * 90, "t") for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
