@@ -249,8 +249,10 @@ def brute_classes(rows):
 def test_near_duplicates(odd, docs):
     for df in (odd, docs):
         rows = pairs(df)
-        got = Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in ngram_join.classes(df).collect())
+        got = Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in ngram_join.classes(df, degrees=True).collect())
         assert got == Counter(brute_classes(rows))
+        got = Counter((r.doc_id, r.class_id, r.class_size) for r in ngram_join.classes(df).collect())
+        assert got == Counter((i, c, n) for i, c, _, n in brute_classes(rows))
 
 
 def test_near_duplicates_recall_near_the_threshold(spark):
@@ -265,17 +267,73 @@ def test_near_duplicates_recall_near_the_threshold(spark):
             rows.append((len(rows), " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     _, links = brute_links(rows)
-    found = sum(r.n_links for r in ngram_join.classes(df).collect()) / 2
+    found = sum(r.n_links for r in ngram_join.classes(df, degrees=True).collect()) / 2
     assert len(links) > 80 and 0.93 * len(links) <= found <= len(links)
 
 
 def test_split_buckets_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", 4)
-    monkeypatch.setattr(ngram_join, "VERIFY", 3)
+    monkeypatch.setattr(ngram_join, "SHINGLES", 300)
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in ngram_join.classes(df).collect()) == Counter(brute_classes(rows))
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in ngram_join.classes(df, degrees=True).collect()) == Counter(brute_classes(rows))
+    assert {(r.class_id, r.class_size) for r in ngram_join.classes(df).collect()} == {(0, 40)}
+
+
+def cluster(rng, name, size, words, edits):
+    """Texts that share most words; each has ``edits`` of its own."""
+    base = [f"{name}w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(size):
+        own = list(base)
+        for at in rng.sample(range(words), edits):
+            own[at] = f"n{rng.randrange(10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_prefixes_are_shortened_as_the_data_need(spark):
+    import random
+
+    rng = random.Random(8)
+    close = [t for g in range(80) for t in cluster(rng, f"c{g}", 2, 150, 1)]
+    loose = [t for g in range(80) for t in cluster(rng, f"l{g}", 2, 150, 7)]
+    depth = {}
+    for name, texts in (("close", close), ("loose", loose)):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows, nodes = ngram_join._nodes(df, "doc_id", "text", 3)
+        found, depth[name], recall = ngram_join.matched_links(df, nodes, "text", 0.5, 0.98, 3)
+        _, links = brute_links(list(enumerate(texts)))
+        assert len(links) > 70 and recall >= 0.98 and found.count() >= 0.95 * len(links)
+    assert depth["close"] == ngram_join.DEPTH > depth["loose"]
+
+
+def test_a_cluster_costs_no_pairs_of_all_its_texts(spark):
+    import random
+
+    texts = cluster(random.Random(3), "k", 400, 120, 2) + ["alone " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.classes(df).collect()
+    assert {(r.class_id, r.class_size) for r in got if r.doc_id < 400} == {(0, 400)}
+    assert sum(r.n_links for r in got) / 2 < 400 * 30 < 400 * 399 / 2
+
+
+@pytest.mark.parametrize("bucket", [3, 4096])
+def test_classes_that_meet_in_a_run_are_joined(spark, monkeypatch, bucket):
+    """Chains of small steps: neighbours are linked, ends are not, so no run's least node links to all."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    rng = random.Random(6)
+    rows = []
+    for c in range(6):
+        words = [f"h{c}w{i}" for i in range(240)]
+        for k in range(12):
+            rows.append((len(rows), " ".join(words[k * 12 : k * 12 + 100])))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in ngram_join.classes(df).collect()) == Counter((i, c, n) for i, c, _, n in brute_classes(rows))
 
 
 def test_one_of_each_class_stays(odd, docs):
@@ -290,8 +348,14 @@ def test_one_of_each_class_stays(odd, docs):
         assert kept.count() == len({c for c, _ in groups}) + wordless + loose
 
 
-def test_prefix_depth():
-    assert ngram_join.prefix_depth(0.5, 0.95) == 3 and ngram_join.prefix_depth(0.9, 0.9) == 4 and ngram_join.prefix_depth(0.01, 0.99) == 1
+def test_recall_estimate():
+    assert ngram_join.recall_of([(1.0, 10**6)], 4, 0.5) > 0.999 > ngram_join.recall_of([], 3, 0.5) > 0.95 > ngram_join.recall_of([(0.5, 100)], 4, 0.5)
+    m = np.random.default_rng(1).integers(0, 1 << 32, (ngram_join.TREES * ngram_join.DEPTH, 2), dtype=np.uint32)
+    m[:2, 1] = m[:2, 0]
+    hi, lo = ngram_join._labels(m)[:, 0, :].T
+    assert ngram_join._common(hi, lo).tolist() == [2]
+    m[2, 1] = m[2, 0]
+    assert ngram_join._common(*ngram_join._labels(m)[:, 0, :].T).tolist() == [3]
 
 
 # --- mixing
