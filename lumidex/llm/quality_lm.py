@@ -1,17 +1,27 @@
 """Quality classifier: interpolated modified Kneser-Ney model of trusted text, thresholds by language.
 
-The model counts n-grams of ORDER characters (white space runs are one blank,
-digits are one class) of all trusted rows, a model a language.  A character is
-12 bits, so an n-gram is one integer and contexts and suffixes are shifts and
-masks of it.  Count tables are joined by (language, context) and (language,
-suffix) to probabilities and back-off weights, order by order; these go to a
-sharded table that workers map.  A document's perplexity is that of its
-characters and its end; its worst perplexity is that of its worst run of WINDOW
-of them.  It is kept if neither exceeds its language's threshold, the
-``quantile`` of the trusted rows' values.  A model likes what it learnt from, so
-trusted rows are judged, and thresholds taken, by models that left them out: one
-for each of FOLDS parts, to which rows go by their text, so copies stay together.
-The perplexity that is given is that of the model of all trusted rows.
+The model counts n-grams of ORDER symbols of trusted rows, a model a language.
+White space runs are one blank, digits are one class, characters below 2048 are
+symbols of their own, and others are spelled by their UTF-8 bytes, which are
+symbols too: no two characters are ever taken for one another.  A symbol has 12
+bits, so an n-gram is one integer and contexts and suffixes are shifts and masks
+of it.  Count tables are joined by (language, context) and (language, suffix) to
+probabilities and back-off weights, order by order; these go to a sharded table
+that workers map.  A document's perplexity is that of its symbols and its end;
+its worst perplexity is that of its worst run of WINDOW of them.  It is kept if
+neither exceeds its language's threshold, the ``quantile`` of trusted rows' values.
+
+A model likes what it learnt from, so no row is judged by what it taught.  Rows
+go to FOLDS folds by their text (copies stay together), and there is a model for
+each fold, trained on the trusted rows of the others.  Every row, trusted or not,
+is judged once, by the model of its fold, and the trusted rows' values, all of
+models that had not seen them, give the thresholds: what is compared comes from
+models of equal size.
+
+Thresholds are shrunk: a language's own quantile weighs n / (n + SHRINK), n being
+its judged trusted rows; the rest is its median times the quantile, over all
+languages, of the ratio of value and median.  So rare languages have thresholds
+too, and nothing changes at a fixed number of rows.
 
 Scale: tasks sum counts of whole batches before they shuffle them, so what
 travels is distinct n-grams, not occurrences; the tables are sharded by key
@@ -20,12 +30,15 @@ table as well: texts find out where they lie whether they are trusted, so no
 text is shuffled, whatever the number of labels.
 
 Defined cases: text null or without characters: perplexity null, not kept.  A
-language (null is one) with fewer than MIN_TRUSTED trusted rows: threshold null,
-kept.  A trusted row whose language has no trusted text outside its part is
-judged by the model of all, and no threshold is taken from it.  Repeated rows
-count as often as they occur.  A row with several labels is
-trusted if all of them say so.  Empty tables are fine.  Other columns are
-ignored.
+language (null is one) that taught its fold's model nothing is judged by the
+fold's other models, by the one that likes the text best, and held to that
+one's threshold; the same goes for trusted rows, which then set no threshold.
+Where a fold has no model at all, those of other folds serve.  A language whose
+trusted rows set no threshold takes the quantile of all languages' rows.  Without
+any trusted row that a model can judge there is no threshold, and all texts with
+a character are kept.  Repeated rows count as often as they occur.  A row with
+several labels is trusted if all of them say so.  Empty tables are fine.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,11 +58,14 @@ from ._tables import Sharded, write_sharded
 ORDER = 5
 BITS = 12
 VOCABULARY = 1 << BITS
+#: Characters from here on are spelled: a symbol for each byte.
+SPELLED = 2048
 PAD, END = 0, 3
 GATHER = 1 << 21
-MIN_TRUSTED = 20
 QUANTILE = 0.99
 FOLDS = 4
+#: Trusted rows of a language at which its own quantile weighs as much as that of all languages.
+SHRINK = 20
 #: Characters of a run that is judged by itself: a word or two in bad prose.
 WINDOW = 16
 
@@ -73,14 +89,23 @@ def _pieces(column: pa.Array, block: int = 1 << 18) -> Iterator[tuple[int, np.nd
             raw, cuts = b"".join(parts), np.cumsum([0, *map(len, parts)])
             text = raw.decode()
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        bytes_ = np.frombuffer(raw, np.uint8)
+        lead = (bytes_ & 0xC0) != 0x80
         begins = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=begins[1:])
+        if len(points) and int(points.max()) >= SPELLED:  # a symbol a byte for these
+            far = np.repeat(points >= SPELLED, np.diff(np.append(np.flatnonzero(lead), len(bytes_))))
+            lead = lead | far
+            own = np.empty(len(bytes_), dtype=np.uint32)
+            own[lead & ~far] = points[points < SPELLED]
+            own[far] = SPELLED + bytes_[far].astype(np.uint32)
+            points = own[lead]
+        np.cumsum(lead, out=begins[1:])
         char = begins[cuts]
         blank = (points == 32) | ((points >= 9) & (points <= 13))
         before = np.append(True, blank[:-1])
         before[char[:-1][char[:-1] < len(points)]] = True  # leading white space goes
         keep = ~(blank & before)
-        sym = np.where(blank, 32, np.where((points >= 48) & (points <= 57), 48, np.where(points < 2048, points, 2048 + points % 2048))).astype(np.uint64)[keep]
+        sym = np.where(blank, 32, np.where((points >= 48) & (points <= 57), 48, points)).astype(np.uint64)[keep]
         total = np.zeros(len(points) + 1, dtype=np.int64)
         np.cumsum(keep, out=total[1:])
         start = total[char]
@@ -205,23 +230,20 @@ def _key(g: np.ndarray, lang: int, n: int, kind: int) -> np.ndarray:
 
 
 class Model:
-    """Keys of the models (ALL or the fold that was left out, and the language), the handle of their table and that of the trusted ids."""
+    """Keys of the models (the fold that was left out, and the language), the handle of their table and that of the trusted ids."""
 
     def __init__(self, langs: list[str], table: tuple | None, trusted: tuple) -> None:
         self.langs, self.table, self.trusted = langs, table, trusted
 
 
-ALL = "a"
-
-
 def _fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("string")
 
 
 def _leave_out(counts: DataFrame) -> DataFrame:
-    """Counts by fold and language to those of all folds (ALL) and of all folds but one."""
+    """Counts by fold and language to those of all folds but one, named by that one."""
     fold = F.substring("lang", 1, 1)
-    models = F.filter(F.array(F.lit(ALL), *[F.lit(str(k)) for k in range(FOLDS)]), lambda m: m != fold)
+    models = F.filter(F.array(*[F.lit(str(k)) for k in range(FOLDS)]), lambda m: m != fold)
     rows = counts.select(F.explode(models).alias("m"), F.substring("lang", 2, 1 << 30).alias("lang"), "g", "c")
     return rows.groupBy(F.concat("m", "lang").alias("lang"), "g").agg(F.sum("c").alias("c"))
 
@@ -289,65 +311,95 @@ def _worst(surprise: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size < WINDOW, (total[bounds[1:]] - total[bounds[:-1]]) / size, np.maximum.reduceat(mean, bounds[:-1]))
 
 
+def _best(gram: np.ndarray, size: np.ndarray, rows: np.ndarray, models: list[int], table: Sharded) -> np.ndarray:
+    """For each of the rows, the model that gives it the greatest probability."""
+    here = np.isin(np.repeat(np.arange(len(size)), size), rows)
+    uniq, inv = np.unique(gram[here], return_inverse=True)
+    of = np.repeat(np.arange(len(rows)), size[rows])
+    total = np.stack([np.bincount(of, weights=log_probabilities(uniq, m, table)[inv], minlength=len(rows)) for m in models])
+    return np.array(models)[np.argmax(total, axis=0)]
+
+
 def score(docs: DataFrame, model: Model, keep: list[Column], *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``keep``, lang key, events (characters and end), logp of each row, and what it is judged by: own (logp), worst
-    (of a run, by event), left_out (from a model that left this trusted row out).  logp, own and worst are null without
-    a model or characters."""
+    """``keep``, by (language of the model that judges the row), events (symbols and end), logp, worst (mean of a run's
+    negative logarithms), left_out (a trusted row that its own language's model, without it, judges).  by, logp and worst
+    are null without a model or characters."""
     rows = docs.select(*keep, _lang(F.col(f"`{lang}`")).alias("_lang"), F.col(f"`{id_col}`").cast("long").alias("_id"), _fold(F.col(f"`{text}`")).alias("_fold"), F.col(f"`{text}`").alias("_text"))
     k = len(rows.columns) - 4
     where = {x: i for i, x in enumerate(model.langs)}
+    spare = {str(f): [i for x, i in where.items() if x[0] == str(f)] or list(where.values()) for f in range(FOLDS)}
     handle, trusted = model.table, model.trusted
-    names = rows.columns[: k + 1] + ["events", "logp", "own", "worst", "left_out"]
+    names = rows.columns[:k] + ["by", "events", "logp", "worst", "left_out"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ids = Sharded(handle) if handle else None, Sharded(trusted)
+        tags = np.array([x[1:] for x in where] + [None], dtype=object)
         for b in batches:
             langs, folds = b.column(k).to_pylist(), b.column(k + 2).to_pylist()
             among = _among(ids, b.column(k + 1))
-            every = np.array([where.get(ALL + x, -1) for x in langs], dtype=np.int64)
-            other = np.array([where.get((f or "") + x, -1) if t else -1 for x, f, t in zip(langs, folds, among)], dtype=np.int64)
-            events, value = np.zeros(len(b), dtype=np.int64), np.full((3, len(b)), np.nan)
+            own = np.array([where.get((f or "") + x, -1) for x, f in zip(langs, folds)], dtype=np.int64)
+            home = own >= 0
+            events, value = np.zeros(len(b), dtype=np.int64), np.full((2, len(b)), np.nan)
             for first, gram, bounds in _pieces(b.column(k + 3)):
                 size = np.diff(bounds)
                 at = slice(first, first + len(size))
                 events[at] = size - 1
-                row = np.repeat(np.arange(len(size)), size)
+                judge = own[at]
+                judge[size < 2] = -1
+                for f in {folds[first + d] for d in np.flatnonzero((judge < 0) & (size > 1)).tolist()}:
+                    lost = np.array([d for d in np.flatnonzero((judge < 0) & (size > 1)).tolist() if folds[first + d] == f])
+                    if spare[f]:
+                        judge[lost] = _best(gram, size, lost, spare[f], table)
                 surprise = np.zeros(len(gram))
-                for turn, own in enumerate((every[at], other[at])):
-                    for lang in set(own.tolist()) - {-1}:
-                        here = np.flatnonzero(np.repeat(own == lang, size))
-                        uniq, inv = np.unique(gram[here], return_inverse=True)
-                        surprise[here] = -log_probabilities(uniq, lang, table)[inv]
-                    mine = np.flatnonzero((own >= 0) & (size > 1))
-                    total = -np.bincount(row, weights=surprise, minlength=len(size))
-                    for v in value[turn:2]:
-                        v[first + mine] = total[mine]
-                mine = np.flatnonzero((every[at] >= 0) & (size > 1))
-                value[2, first + mine] = _worst(surprise, bounds)[mine]
-            yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], pa.array(events), *[pa.array(v, from_pandas=True) for v in value], pa.array((other >= 0) & (events > 0))], names=names)
-
-    double = [T.StructField(x, T.DoubleType()) for x in ("logp", "own", "worst")]
-    schema = T.StructType([*rows.schema.fields[: k + 1], T.StructField("events", T.LongType()), *double, T.StructField("left_out", T.BooleanType())])
+                for m in set(judge.tolist()) - {-1}:
+                    here = np.flatnonzero(np.repeat(judge == m, size))
+                    uniq, inv = np.unique(gram[here], return_inverse=True)
+                    surprise[here] = -log_probabilities(uniq, m, table)[inv]
+                mine = np.flatnonzero(judge >= 0)
+                total = -np.bincount(np.repeat(np.arange(len(size)), size), weights=surprise, minlength=len(size))
+                value[0, first + mine] = total[mine]
+                value[1, first + mine] = _worst(surprise, bounds)[mine]
+            by = pa.array(tags[own].tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], by, pa.array(events), *[pa.array(v, from_pandas=True) for v in value], pa.array(among & home & (events > 0))], names=names)
+
+    double = [T.StructField(x, T.DoubleType()) for x in ("logp", "worst")]
+    schema = T.StructType([*rows.schema.fields[:k], T.StructField("by", T.StringType()), T.StructField("events", T.LongType()), *double, T.StructField("left_out", T.BooleanType())])
     return rows.mapInArrow(tidy(go), schema)
 
 
+def thresholds(scored: DataFrame, quantile: float) -> tuple[DataFrame, tuple[float | None, float | None]]:
+    """scored: by, left_out and logarithms of perplexity and worst perplexity (ppl, worst).
+
+    Per language with trusted rows: by, threshold, worst_threshold (logarithms); and those of all others.
+    """
+    rows = scored.where("left_out").select("by", "ppl", "worst")
+    two = {x: F.percentile_approx(x, [0.5, quantile], 10000).alias(x) for x in ("ppl", "worst")}
+    own = written(rows.groupBy("by").agg(F.count(F.lit(1)).alias("n"), *two.values()), "limits")
+    rows = rows.join(own.select("by", *[F.col(x)[0].alias(f"m_{x}") for x in two]), "by")
+    off = [F.percentile_approx(F.col(x) - F.col(f"m_{x}"), quantile, 10000).alias(f"d_{x}") for x in two]
+    r = rows.agg(*off, *[F.percentile_approx(x, quantile, 10000).alias(x) for x in two]).first()
+    weight = F.col("n") / (F.col("n") + SHRINK)
+    limit = [weight * F.col(x)[1] + (1 - weight) * (F.col(x)[0] + F.lit(r[f"d_{x}"]).cast("double")) for x in two]
+    return written(own.select("by", limit[0].alias("threshold"), limit[1].alias("worst_threshold")), "limits"), (r["ppl"], r["worst"])
+
+
 def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """Per row: id, n_chars_scored, perplexity, threshold, worst_perplexity, worst_threshold, kept.
+    """Per row: id, n_chars_scored (symbols), perplexity, threshold, worst_perplexity, worst_threshold, kept.
 
-    ``trusted``: one column, ids of trusted rows, distinct.  A trusted row's worst
-    perplexity, and its perplexity in the verdict, are of the model that left it out.
+    ``trusted``: one column, ids of trusted rows, distinct.
     """
     ship(docs.sparkSession)
     docs, ids = pick(docs, id_col, text, lang), trusted.toDF("id")
     model = train(docs, ids, id_col=id_col, text=text, lang=lang)
-    scored = written(score(docs, model, [F.col(f"`{id_col}`").cast("long").alias("id")], id_col=id_col, text=text, lang=lang), "scores")
-    scored = scored.withColumns({x: F.exp(-F.col(y) / (F.col("events") + 1)) for x, y in (("perplexity", "logp"), ("judged", "own"))}).withColumn("worst", F.exp("worst"))
-    limit = scored.where("left_out").groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, quantile, 10000).alias(f"q_{x}") for x in ("judged", "worst")])
-    limit = written(limit.select("_lang", *[F.when(F.col("n") >= MIN_TRUSTED, F.col(f"q_{x}")).alias(y) for x, y in (("judged", "threshold"), ("worst", "worst_threshold"))]), "limits")
-    out = scored.join(limit, "_lang", "left")
-    good = (F.col("judged") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold"))
-    kept = (F.col("events") > 0) & (F.col("perplexity").isNull() | F.col("threshold").isNull() | good)
-    return out.select(F.col("id").alias(id_col), F.col("events").alias("n_chars_scored"), "perplexity", "threshold", F.col("worst").alias("worst_perplexity"), "worst_threshold", kept.alias("kept"))
+    scored = score(docs, model, [F.col(f"`{id_col}`").cast("long").alias("id")], id_col=id_col, text=text, lang=lang)
+    scored = written(scored.select("id", "by", "events", (-F.col("logp") / (F.col("events") + 1)).alias("ppl"), "worst", "left_out"), "scores")
+    limit, rest = thresholds(scored, quantile)
+    judged = F.col("ppl").isNotNull()
+    of = {x: F.exp(F.when(judged, F.coalesce(x, F.lit(r).cast("double")))).alias(x) for x, r in zip(("threshold", "worst_threshold"), rest)}
+    out = scored.join(limit, "by", "left").select("id", "events", F.exp("ppl").alias("perplexity"), of["threshold"], F.exp("worst").alias("worst_perplexity"), of["worst_threshold"])
+    good = (F.col("perplexity") <= F.col("threshold")) & (F.col("worst_perplexity") <= F.col("worst_threshold"))
+    kept = (F.col("events") > 0) & F.coalesce(good, F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("events").alias("n_chars_scored"), "perplexity", "threshold", "worst_perplexity", "worst_threshold", kept.alias("kept"))
 
 
 def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

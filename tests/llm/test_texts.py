@@ -303,7 +303,7 @@ def test_prefixes_are_shortened_as_the_data_need(spark):
     for name, texts in (("close", close), ("loose", loose)):
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         rows, nodes = ngram_join._nodes(df, "doc_id", "text", 3)
-        found, depth[name], recall = ngram_join.matched_links(df, nodes, "text", 0.5, 0.98, 3)
+        found, _, depth[name], recall = ngram_join.matched_links(df, nodes, "text", 0.5, 0.98, 3)
         _, links = brute_links(list(enumerate(texts)))
         assert len(links) > 70 and recall >= 0.98 and found.count() >= 0.95 * len(links)
     assert depth["close"] == ngram_join.DEPTH > depth["loose"]
@@ -530,7 +530,7 @@ def brute_kn(texts, order=5):
 
     def symbols(t):
         t = re.sub(r"[ \t\n\x0b\x0c\r]+", " ", t).removeprefix(" ")
-        points = [48 if 48 <= c < 58 else c if c < 2048 else 2048 + c % 2048 for c in map(ord, t)]
+        points = [p for c in t for p in ([48] if "0" <= c <= "9" else [ord(c)] if ord(c) < 2048 else [2048 + x for x in c.encode()])]
         return [0] * (order - 1) + points + [3]
 
     def grams(t):
@@ -562,21 +562,41 @@ def brute_kn(texts, order=5):
     return lambda t: float(np.exp(-np.mean([np.log(p(g)) for g in grams(t)])))
 
 
+def folds(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    return [r[0] for r in df.select("i", quality_lm._fold(df["text"]).alias("f")).orderBy("i").select("f").collect()]
+
+
 def test_kneser_ney_matches_brute_force(spark):
     rng = np.random.default_rng(3)
-    texts = [" ".join("".join(rng.choice(list("abcdé"), int(rng.integers(1, 6)))) for _ in range(30)) for _ in range(40)]
-    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100, "zzz \t qqq 17", "en"), (101, "abc abd", "en"), (102, "", "en"), (103, None, "en"), (104, "abc", "xx")]
+    texts = [" ".join("".join(rng.choice(list("abcdé中文字🙂"), int(rng.integers(1, 6)))) for _ in range(30)) for _ in range(60)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100, "zzz \t qqq 17", "en"), (101, "abc abd", "en"), (102, "", "en"), (103, None, "en"), (104, "abc", "xx"), (105, "中" * 40, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in quality_lm.classify(df, spark.range(40)).collect()}
-    want = brute_kn(texts)
-    for i, t, lang in rows:
+    got = {r.doc_id: r for r in quality_lm.classify(df, spark.range(60)).collect()}
+    fold = folds(spark, [t for _, t, _ in rows])
+    want = {f: brute_kn([t for t, g in zip(texts, fold) if g != f]) for f in "0123"}
+    for (i, t, _), f in zip(rows, fold):
         if not t:
             assert got[i].perplexity is None and not got[i].kept
-        elif lang == "xx":
-            assert got[i].perplexity is None and got[i].threshold is None and got[i].kept
-        else:
-            assert got[i].perplexity == pytest.approx(want(t), rel=1e-4)
-    assert not got[100].kept and all(got[i].kept for i in range(40))
+        else:  # other languages are judged by the one there is
+            assert got[i].perplexity == pytest.approx(want[f](t), rel=1e-4)
+    values = sorted(got[i].perplexity for i in range(60))
+    assert all(got[i].threshold == pytest.approx(values[59], rel=0.02) for i in (0, 100, 104, 105))
+    assert not got[100].kept and sum(got[i].kept for i in range(60)) >= 58
+
+
+def test_thresholds_are_shrunk_by_the_number_of_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(lang, True, float(x), float(2 * x)) for lang, n, at in (("a", 3000, 1.0), ("b", 5, 2.0)) for x in rng.normal(at, 0.1, n)]
+    df = spark.createDataFrame([*rows, ("a", False, 9.0, 9.0)], "by string, left_out boolean, ppl double, worst double")
+    table, rest = quality_lm.thresholds(df, 0.99)
+    got = {r.by: (r.threshold, r.worst_threshold) for r in table.collect()} | {None: rest}
+    for k, scale in ((0, 1), (1, 2)):
+        a, b = (np.array([scale * x for lang, _, x, _ in rows if lang == name]) for name in "ab")
+        off = np.quantile(np.concatenate([a - np.median(a), b - np.median(b)]), 0.99)
+        assert got["a"][k] == pytest.approx(np.quantile(a, 0.99), abs=0.01 * scale)
+        assert got["b"][k] == pytest.approx(0.2 * b.max() + 0.8 * (np.median(b) + off), abs=0.02 * scale)
+        assert got[None][k] == pytest.approx(np.quantile(np.concatenate([a, b]), 0.99), abs=0.01 * scale)
 
 
 def test_quality_labels(spark, odd):
@@ -599,13 +619,14 @@ def test_some_bad_words_in_good_prose_are_found(spark):
     assert sum(got[i].kept for i in range(200, 220)) >= 17 and sum(got[i].kept for i in range(200)) >= 194
 
 
-def test_thresholds_come_from_models_that_left_the_row_out(spark):
+def test_no_row_is_judged_by_what_it_taught(spark):
     rng = np.random.default_rng(9)
     own = ["".join(rng.choice(list("abcdefgh"), 30)) for _ in range(80)]
-    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(own)], "doc_id long, text string, lang string")
-    got = quality_lm.classify(df, spark.range(80)).collect()
-    assert all(r.threshold > 1.3 * r.perplexity for r in got)  # the model has learnt these rows by heart
-    assert sum(r.kept for r in got) >= 78
+    rows = [(i, t, "en") for i, t in enumerate(own)] + [(100 + i, "".join(rng.choice(list("abcdefgh"), 30)), "en") for i in range(80)]
+    got = quality_lm.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.range(80)).collect()
+    mean = lambda lo, hi: np.mean([r.perplexity for r in got if lo <= r.doc_id < hi])
+    assert mean(0, 80) == pytest.approx(mean(100, 180), rel=0.05)  # trusted and unknown rows fare alike
+    assert sum(r.kept for r in got if r.doc_id < 80) >= 77 and sum(r.kept for r in got if r.doc_id >= 100) >= 74
 
 
 def test_worst_run():
