@@ -4,9 +4,19 @@ Every text gives five counts (see :func:`text_stats`).  A document fails the
 base rules if it has fewer than ``MIN_WORDS`` words or if more than half of its
 words lie in repeated three-word windows.  The others become a transformed
 vector (:data:`VECTOR`), and a regularised minimum-covariance-determinant
-estimate of centre and scatter is made per language and source by distributed
-concentration steps.  A document whose squared Mahalanobis distance exceeds the
-chi-square quantile ``cutoff`` is rejected.
+estimate of centre and scatter is made per language and source.  A document
+whose squared Mahalanobis distance exceeds the chi-square quantile of
+``1 - alpha`` is rejected.
+
+Estimates: two deterministic starts (medians with scaled absolute deviations;
+means with covariances), distributed concentration steps that keep the H share
+of smallest distance until no determinant falls any more (C_STEPS at most), the
+start of the smaller determinant, and a last step that keeps what lies within
+the 97.5 % chi-square quantile.  The same is done for every language and for
+all documents, and an estimate of n documents is shrunk towards the next wider
+one with weight SHRINK / (n + SHRINK), that of all towards a wide scatter.  So
+every source is judged by an estimate of its own, whatever its size; a small one
+leans on its language.
 
 Scale: one narrow pass over the texts writes a statistics table of fixed width;
 each concentration step is one partial aggregation of it to (group, distance
@@ -14,13 +24,9 @@ bin) cells, at most ``BINS`` a group, so a group that holds a third of all rows
 is combined before it is shuffled.  No group is ever gathered.
 
 Defined cases: null text counts as empty (no words, base_failed).  Null lang or
-source is a group of its own.  A (lang, source) group with fewer than
-``MIN_GROUP`` eligible documents is pooled with the other small groups of its
-language; where that pool is smaller, it is judged by the estimate of the whole
-language, and where that is smaller, of all languages.  Only a table with fewer
-eligible documents is not judged beyond the base rules.  Repeated rows are judged one by one, alike.  An empty table gives an
-empty result.  Other columns, whatever their names, are ignored by
-:func:`judge` and returned untouched by :func:`keep_good`.
+source is a group of its own.  Repeated rows are judged one by one, alike.  An
+empty table gives an empty result.  Other columns, whatever their names, are
+ignored by :func:`judge` and returned untouched by :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -39,9 +45,12 @@ from ._shared import forget, isolate, pick, ship, tidy, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 60
-#: Estimates of a whole language and of all; keys of languages and sources begin otherwise.
-WHOLE, EVERY = "**", "***"
+#: Documents at which an estimate of its own weighs as much as the wider one.
+SHRINK = 30
+#: Spread, in smallest spreads, towards which the estimate of all documents is shrunk.
+WIDE = 3.0
+#: Source of the estimate of a whole language, language of that of all; other keys begin otherwise.
+WHOLE = "*"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Transformed statistics, the smallest spread each of them is credited with.
 VECTOR = (
@@ -54,7 +63,9 @@ VECTOR = (
 DIM = len(VECTOR)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 H = 0.75
-C_STEPS = 4
+C_STEPS = 8
+#: Fall of a log determinant that asks for another step.
+FALL = 1e-2
 BINS = 1024
 PER_OCTAVE = 32
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -179,19 +190,30 @@ def _distance() -> Column:
     return total
 
 
-_PARAMS = "gl string, gs string, " + ", ".join(f"m{i} double" for i in range(DIM)) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
+_FLOOR = np.diag([f * f for _, _, f in VECTOR])
+_MOMENTS = ", ".join([*[f"m{i} double" for i in range(DIM)], *[f"p{i}{j} double" for i, j in PAIRS]])
+_PARAMS = f"gl string, gs string, start long, n double, det double, fall double, {_MOMENTS}"
 
 
-def _solve(sums: np.ndarray, squares: np.ndarray, n: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and inverse scatter from summed moments."""
-    mean = sums / n
+def _moments(t: pa.Table, chosen: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter (times ``factor``) of the chosen cells."""
+    n = float(t["n"].to_numpy()[chosen].sum())
+    mean = np.array([t[f"s{i}"].to_numpy()[chosen].sum() for i in range(DIM)]) / n
     cov = np.zeros((DIM, DIM))
-    for (i, j), q in zip(PAIRS, squares):
-        cov[i, j] = cov[j, i] = q / n - mean[i] * mean[j]
-    return mean, np.linalg.inv(factor * cov + np.diag([f * f for _, _, f in VECTOR]))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = factor * (t[f"q{i}{j}"].to_numpy()[chosen].sum() / n - mean[i] * mean[j])
+    return mean, cov
+
+
+def _row(t: pa.Table, mean: np.ndarray, matrix: np.ndarray, det: float, fall: float) -> pa.Table:
+    row = {"gl": t["gl"][0].as_py(), "gs": t["gs"][0].as_py(), "start": t["start"][0].as_py(), "n": float(t["n"].to_numpy().sum()), "det": det, "fall": fall}
+    row |= {f"m{i}": mean[i] for i in range(DIM)} | {f"p{i}{j}": matrix[i, j] for i, j in PAIRS}
+    return pa.Table.from_pylist([row])
 
 
 def _solver(last: bool, factor: float) -> Callable[[pa.Table], pa.Table]:
+    """A concentration step of a group: the inverse of the scatter, or (last) the scatter itself, without the smallest spread."""
+
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by("cell")
         cell, n = t["cell"].to_numpy(), t["n"].to_numpy()
@@ -199,79 +221,118 @@ def _solver(last: bool, factor: float) -> Callable[[pa.Table], pa.Table]:
             chosen = cell == 0 if (cell == 0).any() else np.ones(len(cell), dtype=bool)
         else:
             chosen = np.arange(len(cell)) <= np.searchsorted(np.cumsum(n), math.ceil(H * int(n.sum())))
-        sums = np.array([t[f"s{i}"].to_numpy()[chosen].sum() for i in range(DIM)])
-        squares = np.array([t[f"q{i}{j}"].to_numpy()[chosen].sum() for i, j in PAIRS])
-        mean, inv = _solve(sums, squares, float(n[chosen].sum()), factor)
-        row = {"gl": t["gl"][0].as_py(), "gs": t["gs"][0].as_py()} | {f"m{i}": mean[i] for i in range(DIM)} | {f"p{i}{j}": inv[i, j] for i, j in PAIRS}
-        return pa.Table.from_pylist([row])
+        mean, cov = _moments(t, chosen, factor)
+        det = float(np.linalg.slogdet(cov + _FLOOR)[1])
+        return _row(t, mean, cov if last else np.linalg.inv(cov + _FLOOR), det, t["det"][0].as_py() - det)
 
     return solve
 
 
-def fit(stats: DataFrame) -> DataFrame:
-    """MCD centre and inverse scatter of each group of ``stats`` (gl, gs, x0..x4), as a written table.
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]]
 
-    Start: medians and scaled absolute deviations.  C_STEPS concentration steps
-    keep the H share of smallest distance, and a last reweighting step keeps
-    what lies within the 97.5 % chi-square quantile.  Distances are binned
-    (PER_OCTAVE bins an octave), so the chosen share ends at a bin's edge.
-    """
-    quart = F.expr
-    med = stats.groupBy("gl", "gs").agg(*[quart(f"percentile_approx(x{i}, 0.5, 1000)").alias(f"m{i}") for i in range(DIM)])
+
+def _starts(stats: DataFrame) -> DataFrame:
+    """Both starts of each group."""
+    med = stats.groupBy("gl", "gs").agg(*[F.expr(f"percentile_approx(x{i}, 0.5, 1000)").alias(f"m{i}") for i in range(DIM)])
     mad = stats.join(med, ["gl", "gs"]).groupBy("gl", "gs").agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)], *[quart(f"percentile_approx(abs(x{i} - m{i}), 0.5, 1000)").alias(f"d{i}") for i in range(DIM)]
+        *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)], *[F.expr(f"percentile_approx(abs(x{i} - m{i}), 0.5, 1000)").alias(f"d{i}") for i in range(DIM)]
     )
-    params = written(
-        mad.select(
-            "gl", "gs", *[f"m{i}" for i in range(DIM)],
-            *[(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + VECTOR[i][2] ** 2) if i == j else F.lit(0.0)).cast("double").alias(f"p{i}{j}") for i, j in PAIRS],
-        ),
-        "mcd",
+    none = F.lit(float("inf"))
+    robust = mad.select(
+        "gl", "gs", F.lit(0).cast("long").alias("start"), F.lit(0.0).alias("n"), none.alias("det"), none.alias("fall"), *[f"m{i}" for i in range(DIM)],
+        *[(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + VECTOR[i][2] ** 2) if i == j else F.lit(0.0)).cast("double").alias(f"p{i}{j}") for i, j in PAIRS],
     )
+
+    def classical(t: pa.Table) -> pa.Table:
+        mean, cov = _moments(t, np.ones(1, dtype=bool), 1.0)
+        return _row(t, mean, np.linalg.inv(cov + _FLOOR), math.inf, math.inf)
+
+    plain = stats.groupBy("gl", "gs").agg(*_sums()).withColumn("start", F.lit(1).cast("long")).groupBy("gl", "gs").applyInArrow(classical, _PARAMS)
+    return robust.unionByName(plain)
+
+
+def fit(stats: DataFrame) -> DataFrame:
+    """MCD centre and scatter of each group of ``stats`` (gl, gs, x0..x4): gl, gs, n, m*, p*; a written table.
+
+    Distances are binned (PER_OCTAVE bins an octave), so the chosen share ends at a bin's edge.
+    """
+    params = written(_starts(stats), "mcd")
     limit = chi2_quantile(0.975, DIM)
     raw_factor = H / chi2_cdf(chi2_quantile(H, DIM), DIM + 2)
     end_factor = 0.975 / chi2_cdf(limit, DIM + 2)
+    last = False
     for step in range(C_STEPS + 1):
-        last = step == C_STEPS
+        keys = ["gl", "gs", "start", "det"]
         d = stats.join(params, ["gl", "gs"]).withColumn("d", F.greatest(_distance(), F.lit(0.0)))
         cell = F.least(F.floor(F.log2(F.col("d") + 2.0**-16) * PER_OCTAVE) + 16 * PER_OCTAVE, F.lit(BINS - 1))
         if last:
             cell = F.when(F.col("d") <= limit, 0).otherwise(1)
-        cells = d.withColumn("cell", cell.cast("int")).groupBy("gl", "gs", "cell").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
-        )
-
-        new = written(cells.groupBy("gl", "gs").applyInArrow(_solver(last, end_factor if last else raw_factor), _PARAMS), "mcd")
+        cells = d.drop("n").withColumn("cell", cell.cast("int")).groupBy(*keys, "cell").agg(*_sums())
+        new = written(cells.groupBy("gl", "gs", "start").applyInArrow(_solver(last, end_factor if last else raw_factor), _PARAMS), "mcd")
         forget(params)
         params = new
+        if last:
+            return params
+        if step == C_STEPS - 1 or not new.where(F.col("fall") > FALL).limit(1).count():
+            last = True  # the start of the smaller determinant goes on
+            cols = [c for c in params.columns if c not in ("gl", "gs")]
+            params = params.groupBy("gl", "gs").agg(F.min(F.struct("det", *[c for c in cols if c != "det"])).alias("b")).select("gl", "gs", *[F.col(f"b.{c}").alias(c) for c in cols])
     return params
 
 
+def _shrunk(own: np.ndarray, wider: np.ndarray) -> np.ndarray:
+    """Rows of (n, centre, scatter): own estimates leaning on the wider ones; the distance of the centres adds to the scatter."""
+    w = (own[:, :1] / (own[:, :1] + SHRINK))
+    m, mw = own[:, 1 : 1 + DIM], wider[:, 1 : 1 + DIM]
+    off = m - mw
+    cross = np.stack([off[:, i] * off[:, j] for i, j in PAIRS], axis=1)
+    return np.concatenate([own[:, :1], w * m + (1 - w) * mw, w * own[:, 1 + DIM :] + (1 - w) * wider[:, 1 + DIM :] + w * (1 - w) * cross], axis=1)
+
+
+def shrink(params: DataFrame) -> DataFrame:
+    """Estimates of sources, languages and all to those each source is judged by: gl, gs, m*, p* (inverse scatter)."""
+    names = ["n", *[f"m{i}" for i in range(DIM)], *[f"p{i}{j}" for i, j in PAIRS]]
+    at = lambda tag: [F.col(c).alias(f"{tag}_{c}") for c in names]
+    every = params.where(F.col("gl") == WHOLE).select(*names).first()  # one row
+    if every is None:
+        return params.select("gl", "gs", *names[1:])
+    wide = WIDE**2 * np.array([_FLOOR[i, j] for i, j in PAIRS])
+    top = np.array([list(every)])
+    top = _shrunk(top, np.concatenate([[0.0], top[0, 1 : 1 + DIM], wide])[None])
+    own = params.where((F.col("gl") != WHOLE) & (F.col("gs") != WHOLE)).select("gl", "gs", *at("s"))
+    both = own.join(params.where((F.col("gl") != WHOLE) & (F.col("gs") == WHOLE)).select("gl", *at("l")), "gl").select("gl", "gs", *[f"{tag}_{c}" for tag in "sl" for c in names])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            v = np.stack([b.column(2 + i).to_numpy() for i in range(2 * len(names))], axis=1)
+            lang = _shrunk(v[:, len(names) :], np.repeat(top, len(b), axis=0))
+            e = _shrunk(v[:, : len(names)], lang)
+            cov = np.zeros((len(b), DIM, DIM))
+            for k, (i, j) in enumerate(PAIRS):
+                cov[:, i, j] = cov[:, j, i] = e[:, 1 + DIM + k]
+            inv = np.linalg.inv(cov + _FLOOR)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(e[:, 1 + i]) for i in range(DIM)], *[pa.array(inv[:, i, j]) for i, j in PAIRS]], names=["gl", "gs", *names[1:]])
+
+    return both.mapInArrow(tidy(go), f"gl string, gs string, {_MOMENTS}")
+
+
 def _grouped(df: DataFrame, lang: str, source: str, prefix: str) -> DataFrame:
     return df.select("*", _key(F.col(f"`{lang}`")).alias("gl"), _key(F.col(f"`{source}`")).alias("gs"), *[x.alias(f"x{i}") for i, x in enumerate(_vector(prefix))])
 
 
 def fit_stats(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
-    """Estimates for every (lang, source) of a statistics table: gl, gs, centre, inverse scatter; absent if the whole table is too small."""
+    """Estimates for every (lang, source) of a statistics table: gl, gs, centre, inverse scatter."""
     ok = _grouped(stats.where(~base_failed(prefix)), lang, source, prefix).select("gl", "gs", *[f"x{i}" for i in range(DIM)])
-    sizes = written(ok.groupBy("gl", "gs").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    n = F.col("n")
-    by = sizes.groupBy("gl").agg(F.sum("n").alias("whole"), F.sum(F.when(n < MIN_GROUP, n)).alias("small"))
-    every = sizes.agg(F.sum("n")).first()[0] or 0
-    of = F.when(n >= MIN_GROUP, F.col("gs")).when(F.col("small") >= MIN_GROUP, "*").when(F.col("whole") >= MIN_GROUP, WHOLE).when(F.lit(every >= MIN_GROUP), EVERY)
-    pool = sizes.join(by, "gl").withColumn("ms", of).where("ms is not null").withColumn("ml", F.when(F.col("ms") == EVERY, "*").otherwise(F.col("gl")))
-    pool = written(pool.select("gl", "gs", "ml", "ms"), "pool")
-    feed = pool.where(~F.col("ms").isin(WHOLE, EVERY))
-    for ms, ml, key in ((WHOLE, F.col("gl"), ["gl"]), (EVERY, F.lit("*"), [])):
-        asked = pool.where(F.col("ms") == ms).select("ml", *key).distinct()  # estimates of these take every source
-        feed = feed.unionByName((pool.join(asked.select(*key), key, "left_semi") if key else pool.select("gl", "gs").crossJoin(asked)).select("gl", "gs", ml.alias("ml"), F.lit(ms).alias("ms")))
-    feed = written(feed, "feed")
-    params = fit(ok.join(feed, ["gl", "gs"]).drop("gl", "gs").withColumnsRenamed({"ml": "gl", "ms": "gs"}))
-    return written(pool.join(params.withColumnsRenamed({"gl": "ml", "gs": "ms"}), ["ml", "ms"]).drop("ml", "ms"), "mcd")
+    ways = F.array(F.struct("gl", "gs"), F.struct("gl", F.lit(WHOLE).alias("gs")), F.struct(F.lit(WHOLE).alias("gl"), F.lit(WHOLE).alias("gs")))
+    feed = ok.select(F.explode(ways).alias("w"), *[f"x{i}" for i in range(DIM)]).select("w.gl", "w.gs", *[f"x{i}" for i in range(DIM)])
+    return written(shrink(fit(feed)), "mcd")
 
 
 def verdict(df: DataFrame, params: DataFrame, cutoff: float, lang: str, source: str, prefix: str) -> DataFrame:
-    """Adds base_failed, distance2 (null where not judged) and kept, each named with prefix."""
+    """Adds base_failed, distance2 (null where base rules fail) and kept, each named with prefix."""
     names = df.columns
     g = _grouped(df, lang, source, prefix).join(params, ["gl", "gs"], "left")
     d = F.when(~base_failed(prefix), F.greatest(_distance(), F.lit(0.0)))
