@@ -34,7 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def local_path(uri: str) -> str:
-    """Path of a mounted shared folder."""
+    """Path of a mounted shared folder; an error for storage that is not mounted, since workers map files from it."""
+    scheme = uri.partition(":/")[0] if ":/" in uri else ""
+    if scheme not in ("", "file"):
+        raise ValueError(f"spark.checkpoint.dir must be a folder that all executors have mounted, not {uri}")
     return uri[7:] if uri.startswith("file://") else uri[5:] if uri.startswith("file:") else uri
 
 
@@ -86,9 +89,10 @@ def tidy(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, whose Python path need not hold it, and makes batches small where they have the default size."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    """Sends this package to the executors, whose Python path need not hold it, and makes batches small where the session sets no size."""
+    own = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(own):
+        spark.conf.set(own, BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_lumidex_shipped", False):
         return
@@ -102,6 +106,12 @@ def ship(spark: SparkSession) -> None:
     sc._lumidex_shipped = True
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The size of df that its plan's statistics give (files: theirs); 0 where they know nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, found by exact name whatever other columns are called."""
     names = df.columns

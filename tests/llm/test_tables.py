@@ -52,6 +52,19 @@ def test_colliding_digests(tmp_path, monkeypatch):
     assert array.contains(["aa", "bbbb", "c", "ddd", "zz", "z", ""]).tolist() == [True] * 4 + [False] * 3
 
 
+def test_a_blocklist_in_shards(spark, tmp_path):
+    entries = [f"d{i}.example.test" for i in range(3000)] + ["page.test/p/q"]
+    table = spark.createDataFrame([(x,) for x in [*entries, *entries[:9], None]], "entry string")
+    folder = url_filter.build_table(table, str(tmp_path / "l"), 7)
+    asked = [*entries, "d3000.example.test", "", "page.test/p"]
+    assert url_filter.Blocklist(folder).contains(asked).tolist() == [True] * len(entries) + [False] * 3
+    urls = [*URLS, "http://a.d17.example.test/x", "x://" + "h" * 100_000 + ".d5.example.test/" + "p" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for blocklist in (folder, table, url_filter.build(entries, str(tmp_path / "one"))):
+        got = {r.page_id: (r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, blocklist=blocklist).collect()}
+        assert got == {i: (i, *brute_url(u, set(entries))) for i, u in enumerate(urls)}
+
+
 def brute_topk(rows, k):
     """rows: (id, vector)."""
     ok = [(i, [int(np.floor(256 * float(x))) for x in v], n) for n, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
