@@ -22,7 +22,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BLOCK = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
+_OTHER = 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,25 +37,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
-_pow = {"n": 0}
+_TABLE_2 = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
+_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _pow["n"] < n:
-        m = max(n, BLOCK + 1)
-        for name, base in (("f", _MULT), ("i", _INV)):
-            a = np.full(m, base, dtype=U)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _known_powers or len(_known_powers[base][0]) < n:
+        both = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            a = np.full(max(n, BLOCK + 1), x, dtype=U)
             a[0] = 1
-            _pow[name] = np.multiply.accumulate(a)
-        _pow["n"] = m
-    return _pow["f"], _pow["i"]
+            both.append(np.multiply.accumulate(a))
+        _known_powers[base] = tuple(both)
+    return _known_powers[base]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]`` for each span; spans are absolute, ``base`` is where data[0] lies."""
-    fwd, inv = _powers(len(data) + 1)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0, second: bool = False) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]`` for each span; spans are absolute, ``base`` is where data[0] lies.
+
+    ``second``: another, independent hash.
+    """
+    fwd, inv = _powers(len(data) + 1, _OTHER if second else _MULT)
     s = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_TABLE[data] * fwd[: len(data)], out=s[1:])
+    np.cumsum((_TABLE_2 if second else _TABLE)[data] * fwd[: len(data)], out=s[1:])
     a, b = start - base, end - base
     return mix((s[b] - s[a]) * inv[a] + (b - a).astype(U))
 
@@ -71,6 +75,7 @@ class Words:
     end: np.ndarray
     bounds: np.ndarray  # word index at which each document begins, one more than documents
     hashes: np.ndarray | None
+    second: np.ndarray | None = None  # independent hashes, where asked for
 
     @property
     def n_docs(self) -> int:
@@ -113,7 +118,7 @@ def _pieces(data: np.ndarray, lo: int, hi: int, space: np.ndarray) -> Iterator[t
     yield lo, hi
 
 
-def scan(column: pa.Array | pa.ChunkedArray, *, hashes: bool = True, block: int = BLOCK, space: np.ndarray = SPACE) -> Iterator[Words]:
+def scan(column: pa.Array | pa.ChunkedArray, *, hashes: bool = True, second: bool = False, block: int = BLOCK, space: np.ndarray = SPACE) -> Iterator[Words]:
     """Yields the words of all documents of a batch, a few documents (about ``block`` bytes) at a time.
 
     ``space`` tells which bytes separate words.
@@ -123,7 +128,7 @@ def scan(column: pa.Array | pa.ChunkedArray, *, hashes: bool = True, block: int
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + block, side="right")) - 1)
         off = offsets[i : j + 1]
-        starts, ends, hs = [], [], []
+        starts, ends, hs, more = [], [], [], []
         for lo, hi in _pieces(data, int(off[0]), int(off[-1]), space):
             part = data[lo:hi]
             full = np.zeros(len(part) + 2, dtype=bool)
@@ -139,8 +144,10 @@ def scan(column: pa.Array | pa.ChunkedArray, *, hashes: bool = True, block: int
             ends.append(e)
             if hashes:
                 hs.append(span_hashes(part, s, e, lo))
+            if second:
+                more.append(span_hashes(part, s, e, lo, True))
         start, end = np.concatenate(starts), np.concatenate(ends)
-        yield Words(i, data, off, start, end, np.searchsorted(start, off), np.concatenate(hs) if hashes else None)
+        yield Words(i, data, off, start, end, np.searchsorted(start, off), np.concatenate(hs) if hashes else None, np.concatenate(more) if second else None)
         i = j
 
 

@@ -25,8 +25,9 @@ run twice)
 
 Scale: each text is encoded once; ids are shuffled once, by chunk name, after
 every task has dropped the chunks it has already sent; recipes (16 bytes a
-chunk) are range-sorted by id.  The number of packs and parts is a parameter and
-follows spark.sql.shuffle.partitions.
+chunk) are range-sorted by id.  The number of packs and parts is a parameter; it
+follows the input's size (PACK bytes of it a pack), and is no less than
+spark.sql.shuffle.partitions.
 
 Defined cases: null text counts as empty; an empty text has the end id alone.
 Rows of equal id follow one another in the order of their content; null ids come
@@ -38,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -51,7 +53,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import _words as W
-from ._shared import forget, fresh, local_path, pick, ship, tidy, written
+from ._shared import estimated_bytes, forget, fresh, local_path, pick, ship, tidy, written
 
 ROLL, MASK, MIN, MAX = 16, 255, 64, 2048
 DIGEST = 16
@@ -59,6 +61,8 @@ DIGEST = 16
 LEARN = 1 << 21
 #: Words a worker remembers with their ids.
 CACHE = 1 << 21
+#: Bytes of input, as its plan estimates them, that a pack stands for.
+PACK = 64 << 20
 #: Chunk names a task remembers, so that copies are sent once.
 SEEN = 1 << 18
 _GEAR = np.uint64(0x9FB21C651E98DF25)
@@ -79,7 +83,12 @@ def splits_at_space(path: str) -> bool:
 
 
 class WordEncoder:
-    """Ids of whole texts through a growing table of word hash -> ids."""
+    """Ids of whole texts through a growing table of word hash -> ids.
+
+    A word is found by one 64-bit hash and confirmed by a second, independent
+    one, occurrence by occurrence.  Where two words share the first hash, the
+    texts at hand are encoded whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -89,6 +98,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.key = np.zeros(0, np.uint64)
+        self.proof = np.zeros(0, np.uint64)
         self.off = np.zeros(0, np.int64)
         self.len = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -111,18 +121,22 @@ class WordEncoder:
             base += len(pos)
         where = np.searchsorted(self.key, key)
         self.key = np.insert(self.key, where, key)
+        self.proof = np.insert(self.proof, where, w.second[at])
         self.off = np.insert(self.off, where, np.concatenate(offs))
         self.len = np.insert(self.len, where, np.concatenate(lens))
         self.pool = np.concatenate([self.pool, *pools])
 
+    def _whole(self, column: pa.Array, first: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i, text in enumerate(column):
+            ids = np.array(self.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids, dtype=np.uint32)
+            yield first + i, ids, np.array([0, len(ids)])
+
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yields (first document, ids of some documents on end, bounds)."""
         if not self.by_word:
-            for i, text in enumerate(column):
-                ids = np.array(self.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids, dtype=np.uint32)
-                yield i, ids, np.array([0, len(ids)])
+            yield from self._whole(column, 0)
             return
-        for w in W.scan(column, block=LEARN):
+        for w in W.scan(column, block=LEARN, second=True):
             uniq, first, inv = np.unique(w.hashes, return_index=True, return_inverse=True)
             at = np.searchsorted(self.key, uniq)
             known = np.zeros(len(uniq), dtype=bool)
@@ -134,6 +148,9 @@ class WordEncoder:
                     known[:] = False
                 self._learn(w, uniq[~known], first[~known])
                 at = np.searchsorted(self.key, uniq)
+            if (self.proof[at][inv] != w.second).any():
+                yield from self._whole(column.slice(w.first, w.n_docs), w.first)
+                continue
             n = self.len[at][inv]
             total = np.zeros(len(n) + 1, dtype=np.int64)
             np.cumsum(n, out=total[1:])
@@ -331,7 +348,7 @@ def write_store(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text
     root = root or local_path(fresh(spark, "store"))
     os.makedirs(f"{root}/packs")
     os.makedirs(f"{root}/recipes")
-    packs = packs or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packs = packs or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(estimated_bytes(docs) / PACK))
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
     width = 2 if size <= 1 << 16 else 4
     rows = _encode(pick(docs, id_col, text).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), tokenizer, end_id, packs, width)

@@ -459,6 +459,18 @@ def test_word_encoder_equals_the_library(texts):
     assert [got[i] for i in range(len(texts) + 1)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "<|endoftext|> a<|startoftext|>b"]]
 
 
+def test_words_of_equal_hash_keep_their_own_ids(monkeypatch):
+    first = W.span_hashes
+    monkeypatch.setattr(W, "span_hashes", lambda data, a, b, base=0, second=False: first(data, a, b, base, second) if second else (b - a).astype(np.uint64))
+    encoder = token_store.WordEncoder(BPE)
+    texts = ["one two six", "ten one", "quite another text", "six", "", "two"]
+    got = {}
+    for first_, ids, bounds in encoder(pa.array(texts)):
+        for d in range(len(bounds) - 1):
+            got[first_ + d] = ids[bounds[d] : bounds[d + 1]].tolist()
+    assert got == {i: encoder.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_other_tokenizers_encode_whole_texts(spark, docs):
     from tokenizers import Tokenizer
 
