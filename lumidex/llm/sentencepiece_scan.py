@@ -11,8 +11,12 @@ independently:
 * The state at a chunk boundary is the piece that covers the character before
   it.  Each chunk gives the matrix of best weights from the states at its left to
   those at its right boundary, without knowing what lies before it.
-* Matrices combine associatively in max-plus algebra (:func:`max_plus`): a pass
-  over them, a row of small matrices per text, gives the state at each boundary.
+* Matrices combine associatively in max-plus algebra (:func:`max_plus`): up a
+  tree, neighbours are combined to the matrix of both (:func:`up`); down the tree,
+  the states at the ends of a pair give the state between its two
+  (:func:`down`), each pair by itself.  Groups of FAN matrices are a task's
+  tree, and groups of groups the levels above, so no task holds more than FAN
+  matrices, however long the text.
 * Each chunk is then traced back by itself between its two states.
 
 A place where no piece can cross (a word begin, if no piece of the vocabulary
@@ -46,6 +50,8 @@ GIANT = 65_536
 CHUNK = 16_384
 #: Texts the library encodes at a time; their ids are Python lists for a moment.
 GROUP = 64
+#: Matrices that one task combines.
+FAN = 256
 _SPACE = "▁"
 
 
@@ -221,20 +227,40 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1, initial=-np.inf)
 
 
+def up(matrices: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Levels of the tree of products: the matrices, those of neighbouring pairs, and so on to that of all."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        w = levels[-1]
+        levels.append([max_plus(w[i], w[i + 1]) if i + 1 < len(w) else w[i] for i in range(0, len(w), 2)])
+    return levels
+
+
+def down(levels: list[list[np.ndarray]], first: int, last: int) -> list[tuple[int, int]]:
+    """The states (rows and columns of the matrices) at both ends of each matrix, on a best path from ``first`` to ``last``."""
+    ends = [(first, last)]
+    for w in reversed(levels[:-1]):
+        new = []
+        for i, (a, b) in enumerate(ends):
+            if 2 * i + 1 == len(w):
+                new.append((a, b))
+            else:
+                mid = int(np.argmax(w[2 * i][a] + w[2 * i + 1][:, b]))
+                new += [(a, mid), (mid, b)]
+        ends = new
+    return ends
+
+
+def _final(right: list[tuple[int, int]], w: np.ndarray, length: int) -> int:
+    """The state at the end of a text that the path from its start reaches."""
+    return next(j for j, s in enumerate(right) if s[1] == length and w[0, j] == 0)
+
+
 def resolve(matrices: list[tuple[list, list, np.ndarray]], length: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
     """The states at the two boundaries of every chunk of a text of ``length``."""
-    ahead = [np.zeros((1, 1))]
-    for _, _, w in matrices:
-        ahead.append(max_plus(ahead[-1], w))
-    right = matrices[-1][1]
-    state = next(j for j, s in enumerate(right) if s[1] == length and ahead[-1][0, j] == 0)
-    out = []
-    for k in range(len(matrices) - 1, -1, -1):
-        left, right, w = matrices[k]
-        came = int(np.argmax(ahead[k][0] + w[:, state]))
-        out.append((left[came], right[state]))
-        state = came
-    return out[::-1]
+    levels = up([w for _, _, w in matrices])
+    found = down(levels, 0, _final(matrices[-1][1], levels[-1][0], length))
+    return [(left[a], right[b]) for (left, right, _), (a, b) in zip(matrices, found)]
 
 
 def chunk_ids(m: Pieces, t: str, lo: int, hi: int, first: tuple[int, int], last: tuple[int, int]) -> list[int]:
@@ -331,20 +357,47 @@ def _matrices(chunks: DataFrame, path: str) -> DataFrame:
     return chunks.mapInArrow(tidy(go), "tid binary, k int, total int, left array<int>, right array<int>, w binary")
 
 
-def _resolved(matrices: DataFrame) -> DataFrame:
-    """One row of small matrices a text: its boundary states."""
+def _unpacked(t: pa.Table) -> tuple[list[dict], list[tuple[list, list, np.ndarray]]]:
+    """Rows of a table of matrices in order, and (states, states, matrix) of each."""
+    rows = t.sort_by("k").to_pylist()
+    parts = []
+    for r in rows:
+        left, right = [tuple(x) for x in np.reshape(r["left"], (-1, 2)).tolist()], [tuple(x) for x in np.reshape(r["right"], (-1, 2)).tolist()]
+        bits = np.unpackbits(np.frombuffer(r["w"], np.uint8))[: len(left) * len(right)].reshape(len(left), len(right))
+        parts.append((left, right, np.where(bits == 1, 0.0, -np.inf)))
+    return rows, parts
+
+
+def _resolved(matrices: DataFrame, most: int) -> DataFrame:
+    """(tid, k, a, b, c, d): the states (a, b) and (c, d) at the boundaries of each chunk.  ``most``: chunks of the longest text."""
+
+    def product(t: pa.Table) -> pa.Table:
+        rows, parts = _unpacked(t)
+        w = up([p[2] for p in parts])[-1][0]
+        flat = [[x for s in states for x in s] for states in (parts[0][0], parts[-1][1])]
+        return pa.Table.from_batches([_batch([(rows[0]["tid"], rows[0]["k"] // FAN, rows[0]["total"], *flat, np.packbits(w == 0).tobytes())], _STATES)])
 
     def solve(t: pa.Table) -> pa.Table:
-        rows = t.sort_by("k").to_pylist()
-        parts = []
-        for r in rows:
-            left, right = [tuple(x) for x in np.reshape(r["left"], (-1, 2)).tolist()], [tuple(x) for x in np.reshape(r["right"], (-1, 2)).tolist()]
-            bits = np.unpackbits(np.frombuffer(r["w"], np.uint8))[: len(left) * len(right)].reshape(len(left), len(right))
-            parts.append((left, right, np.where(bits == 1, 0.0, -np.inf)))
-        found = resolve(parts, rows[0]["total"])
+        rows, parts = _unpacked(t)
+        levels = up([p[2] for p in parts])
+        if "a" in t.column_names:  # a part of a text, between states that are known
+            first, last = parts[0][0].index((rows[0]["a"], rows[0]["b"])), parts[-1][1].index((rows[0]["c"], rows[0]["d"]))
+        else:
+            first, last = 0, _final(parts[-1][1], levels[-1][0], rows[0]["total"])
+        found = [(left[a], right[b]) for (left, right, _), (a, b) in zip(parts, down(levels, first, last))]
         return pa.Table.from_batches([_batch([(r["tid"], r["k"], *f, *s) for r, (f, s) in zip(rows, found)], _FOUND)])
 
-    return matrices.groupBy("tid").applyInArrow(solve, "tid binary, k int, a int, b int, c int, d int")
+    group = F.floor(F.col("k") / FAN).cast("int")
+    levels = [matrices]
+    while most > FAN:
+        levels.append(written(levels[-1].groupBy("tid", group.alias("g")).applyInArrow(product, matrices.schema), "states"))
+        most = -(-most // FAN)
+    schema = "tid binary, k int, a int, b int, c int, d int"
+    found = levels.pop().groupBy("tid").applyInArrow(solve, schema)
+    while levels:
+        below = levels.pop().withColumn("g", group).join(found.withColumnRenamed("k", "g"), ["tid", "g"])
+        found = below.groupBy("tid", "g").applyInArrow(solve, schema)
+    return found
 
 
 def _traced(chunks: DataFrame, path: str) -> DataFrame:
@@ -365,7 +418,9 @@ def giant_ids(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     chunks = written(_chunks(texts, path, chunk).dropDuplicates(["tid", "k"]), "chunks")  # copies that several tasks met
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = chunks.repartition(n, "tid", "k")
-    found = written(_resolved(_matrices(spread, path)), "states")
+    matrices = written(_matrices(spread, path), "states")
+    most = matrices.agg(F.max("k")).first()[0]
+    found = written(_resolved(matrices, 0 if most is None else most + 1), "states")
     traced = _traced(chunks.join(found, ["tid", "k"]).repartition(n, "tid", "k"), path)
     whole = traced.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"))
     return whole.select("tid", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))

@@ -665,6 +665,29 @@ def test_scan_equals_the_library(text, chunk):
     assert sentencepiece_scan.encode_giant(m, text, chunk) == m.sp.encode(text)
 
 
+@given(st.lists(st.integers(1, 4), min_size=2, max_size=12), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_tree_of_matrices_finds_a_best_path(sizes, seed):
+    rng = np.random.default_rng(seed)
+    w = [rng.integers(-9, 9, (a, b)).astype(float) for a, b in zip(sizes, sizes[1:])]
+    levels = sentencepiece_scan.up(w)
+    ends = sentencepiece_scan.down(levels, 0, sizes[-1] - 1)
+    assert all(x[1] == y[0] for x, y in zip(ends, ends[1:])) and (ends[0][0], ends[-1][1]) == (0, sizes[-1] - 1)
+    best = w[0][:1]
+    for m in w[1:]:
+        best = sentencepiece_scan.max_plus(best, m)
+    assert sum(m[a, b] for m, (a, b) in zip(w, ends)) == best[0, -1] == levels[-1][0][0, -1]
+
+
+def test_giant_texts_in_levels_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(sentencepiece_scan, "FAN", 3)
+    texts = ["Größe naïve 12345 " * 40, "x" * 700, "one two three " * 60, "q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in sentencepiece_scan.encode(df, SP, giant=10, chunk=40).collect()}
+    sp = sentencepiece_scan.pieces(SP).sp
+    assert got == {i: sp.encode(t) for i, t in enumerate(texts)}
+
+
 def test_max_plus_is_associative():
     rng = np.random.default_rng(0)
     a, b, c = (np.where(rng.random(s) < 0.6, 0.0, -np.inf) for s in ((3, 4), (4, 5), (5, 2)))
