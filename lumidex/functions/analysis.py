@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -161,8 +161,9 @@ class Analyzer:
     token: Callable[[Column], Column] | None = None
 
 
-def _text(name: str, language: str, stops: bool) -> Analyzer:
-    out = ENGLISH_STOPS if language == "en" else SPANISH_STOPS
+def _text(name: str, language: str, stops: bool | frozenset[str]) -> Analyzer:
+    """``stops``: whether the language's stop words go, or which words do."""
+    out = stops if isinstance(stops, frozenset) else ENGLISH_STOPS if language == "en" else SPANISH_STOPS
 
     def column(c: Column) -> Column:
         words = F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
@@ -256,3 +257,34 @@ ANALYZERS = {
         Analyzer("time", "time", time_value, _date),
     )
 }
+
+BUILT_IN = frozenset(ANALYZERS)
+
+
+def analyzer(name: str) -> Analyzer:
+    """A built-in or registered analyser."""
+    if name not in ANALYZERS:
+        raise KeyError(f"analyser {name!r} is not registered in this session")
+    return ANALYZERS[name]
+
+
+def register_analyzer(name: str, column: Callable[[Column], Column], local: Callable[[str], list]) -> Analyzer:
+    """Makes an analyser of text known: ``column`` maps a string column to an array of tokens, ``local`` does the same for a string.
+
+    Indexes store its name only, so it must be registered wherever they are
+    read or queried.  Empty tokens drop out.  Built-in names cannot be taken.
+    """
+    if name in BUILT_IN:
+        raise ValueError(f"{name!r} is a built-in analyser")
+    ANALYZERS[name] = Analyzer(name, "text", column, lambda s: [t for t in local(s) if t])
+    return ANALYZERS[name]
+
+
+def text_analyzer(name: str, language: str, stops: Iterable[str] | None = None) -> Analyzer:
+    """Registers the stemming analyser of a language ("en", "es") with a stop list of one's own; stop words are compared after stemming."""
+    if language not in ("en", "es"):
+        raise ValueError(f"no stemmer for {language!r}")
+    if name in BUILT_IN:
+        raise ValueError(f"{name!r} is a built-in analyser")
+    ANALYZERS[name] = _text(name, language, frozenset(stops or ()))
+    return ANALYZERS[name]

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analysis import ANALYZERS, Analyzer
+from ..functions.analysis import ANALYZERS, Analyzer, analyzer
 
 POSTINGS = ("field", "term", "num_i", "num_f", "doc_idx", "tf", "dl")
 
@@ -27,7 +27,7 @@ class FieldSpec:
 
     @property
     def rules(self) -> Analyzer:
-        return ANALYZERS[self.analyzer]
+        return analyzer(self.analyzer)
 
     def as_dict(self) -> dict:
         return asdict(self)
@@ -75,11 +75,17 @@ def _typed(df: DataFrame, spec: FieldSpec, many: bool) -> DataFrame:
     return rows.select("doc_idx", v.alias("v")).where("v is not null")
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """df spread by doc_idx, so that the tokens of a document are counted where its text is and never shuffled for it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_idx")
+
+
 def postings(df: DataFrame, specs: Iterable[FieldSpec]) -> DataFrame:
     """Postings of all fields: field, term | num_i | num_f, doc_idx, tf (times in the document), dl (length of the field).
 
     df holds doc_idx.  Tokens are counted by a partial aggregation before they
-    are shuffled, so repeats within a document never travel.
+    are shuffled, so repeats within a document never travel; where df is
+    partitioned by doc_idx (:func:`by_document`), no token does.
     """
     out = None
     for s in specs:

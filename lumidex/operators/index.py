@@ -1,8 +1,12 @@
 """The index: postings, lexicon and field statistics, in memory or as Parquet segments.
 
 A segment is an immutable set of tables; appending writes another one, compaction
-rewrites all into one.  Document numbers of later segments follow those of
-earlier ones.  Postings carry the field's length in the document, so scoring
+rewrites all into one.  Documents are numbered from 0 within a segment; the
+catalog says where a segment begins, so numbers of later segments follow those
+of earlier ones.  The catalog is a series of numbered files, the newest of which
+counts: a change is one rename to the next number, which fails if another writer
+took it, and is then tried again on top of that.  So writers may run side by
+side, and one that dies leaves the index as it was.  Postings carry the field's length in the document, so scoring
 needs no join for it.  Postings and lexicon are partitioned by field and sorted
 by term: a field is a folder, a term a row group.
 """
@@ -10,14 +14,14 @@ by term: a field is a folder, a term a row group.
 from __future__ import annotations
 
 import json
-import shutil
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fields import FieldSpec, postings
+from .fields import FieldSpec, by_document, postings
 from .tables import numbered
 
 TABLES = ("documents", "postings", "lexicon", "field_stats")
@@ -43,10 +47,18 @@ class Index:
         self.lexicon = lex if lex is not None else lexicon(posts)
         self.stats = stats if stats is not None else field_stats(posts)
 
+        self.expansions: dict[tuple, list] = {}  # of fuzzy terms, see matching
+
     @property
     def spark(self) -> SparkSession:
         return self.postings.sparkSession
 
+    def close(self) -> None:
+        """Frees what is cached of its tables; the files stay."""
+        for df in (self.documents, self.postings, self.lexicon, self.stats):
+            df.unpersist()
+        self.expansions.clear()
+
     def spec(self, name: str) -> FieldSpec | None:
         return next((s for s in self.specs if s.name == name), None)
 
@@ -81,8 +93,15 @@ class Index:
         return self.lexicon.where(keep)
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer took the number of a new catalog first."""
+
+
 class Store:
-    """An index in a folder: catalog.json and one folder of tables per segment."""
+    """An index in a folder: numbered catalogs and one folder of tables per segment."""
+
+    #: Catalogs that stay, newest first, and tries of a change among other writers.
+    KEEP, TRIES = 8, 50
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -93,49 +112,89 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def catalog(self) -> dict:
+    def _versions(self) -> list[int]:
         fs, path = self._fs()
-        p = path(f"{self.path}/catalog.json")
-        if not fs.exists(p):
-            return {"fields": [], "segments": [], "next": 0}
-        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.path}/catalog.json").first()[1])
+        if not fs.exists(path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
+        return sorted(int(n[8:16]) for n in names if n.startswith("catalog-") and n.endswith(".json"))
+
+    def catalog(self) -> dict:
+        """fields, segments (name, where its numbers begin, documents), docs, version and, of a stream, its last batch."""
+        have = self._versions()
+        if not have:
+            return {"version": 0, "fields": [], "segments": [], "docs": 0}
+        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.path}/catalog-{have[-1]:08d}.json").first()[1])
 
     def _save(self, catalog: dict) -> None:
+        """Makes this the newest catalog, if it is based on the newest."""
         fs, path = self._fs()
-        new, old = path(f"{self.path}/catalog.json.new"), path(f"{self.path}/catalog.json")
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        version = catalog["version"] + 1
+        new, final = path(f"{self.path}/.catalog-{uuid.uuid4().hex}"), path(f"{self.path}/catalog-{version:08d}.json")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps(catalog).encode()))
+        out.write(bytearray(json.dumps(catalog | {"version": version}).encode()))
         out.close()
-        fs.delete(old, False)
-        fs.rename(new, old)
-
-    def append(self, df: DataFrame, id_col: str, specs: Iterable[FieldSpec] | None = None, order: list[str] | None = None, on_duplicate: str = "keep") -> str:
+        try:  # unlike FileSystem.rename this never replaces a file
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(
+                fs.makeQualified(new), fs.makeQualified(final), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            )
+        except Exception as e:
+            fs.delete(new, False)
+            if not fs.exists(final):
+                raise
+            raise ConcurrentChange(f"{self.path}: version {version} is there already") from e
+        for old in self._versions()[: -self.KEEP]:
+            fs.delete(path(f"{self.path}/catalog-{old:08d}.json"), False)
+
+    def _change(self, edit: Callable[[dict], dict | None]) -> dict | None:
+        """Applies ``edit`` to the newest catalog until no other writer comes between; None leaves it as it is."""
+        for _ in range(self.TRIES):
+            new = edit(self.catalog())
+            if new is None:
+                return None
+            try:
+                self._save(new)
+                return new
+            except ConcurrentChange:
+                continue
+        raise ConcurrentChange(f"{self.path}: no luck in {self.TRIES} tries")
+
+    def append(self, df: DataFrame, id_col: str, specs: Iterable[FieldSpec] | None = None, order: list[str] | None = None, on_duplicate: str = "keep", batch: int | None = None) -> str | None:
         """Writes df as a new segment.  Fields are fixed by the first segment; ``order`` (columns) numbers the documents, else they come as they are.
 
-        ``on_duplicate``: ``keep`` trusts ids to be disjoint, ``raise`` checks them.
+        ``on_duplicate``: ``keep`` trusts ids to be disjoint, ``raise`` checks
+        them.  ``batch``: number of a stream's batch, which is recorded with the
+        segment; nothing happens (None) if that or a later one is in already.
         """
         c = self.catalog()
         given = [s.as_dict() for s in specs or ()]
+        if batch is not None and batch <= c.get("stream", -1):
+            return None
         if c["fields"] and given and c["fields"] != given:
             raise ValueError("fields differ from the index's")
-        c["fields"] = c["fields"] or given
-        fields = [FieldSpec(**f) for f in c["fields"]]
+        kinds = c["fields"] or given
+        fields = [FieldSpec(**f) for f in kinds]
         if not fields:
             raise ValueError("no fields")
         if on_duplicate == "raise" and c["segments"]:
             have = self.open(strict=False).documents
             if df.join(have, df[id_col].cast("string") == have["doc_id"].cast("string"), "left_semi").limit(1).count():
                 raise ValueError("documents are in the index already")
-        start = c.get("docs", 0)
         columns = dict.fromkeys([id_col, *[s.source for s in fields], *(order or ())])
-        rows = numbered(df.select(*[F.col(f"`{c}`") for c in columns]), "doc_idx", [F.col(f"`{c}`") for c in order or ()], start)
-        name = f"{c['next']:016X}"
-        n = self._write(name, rows.select("doc_idx", F.col(f"`{id_col}`").alias("doc_id")), postings(rows, fields))
-        c["segments"].append(name)
-        c["next"] += 1
-        c["docs"] = start + n
-        self._save(c)
-        return name
+        rows = numbered(df.select(*[F.col(f"`{c}`") for c in columns]), "doc_idx", [F.col(f"`{c}`") for c in order or ()])
+        name = uuid.uuid4().hex
+        n = self._write(name, rows.select("doc_idx", F.col(f"`{id_col}`").alias("doc_id")), postings(by_document(rows), fields))
+
+        def add(c: dict) -> dict | None:
+            if c["fields"] and c["fields"] != kinds:
+                raise ValueError("fields differ from the index's")
+            if batch is not None and batch <= c.get("stream", -1):
+                return None
+            segment = {"name": name, "base": c["docs"], "docs": n}
+            return c | {"fields": kinds, "segments": [*c["segments"], segment], "docs": c["docs"] + n} | ({} if batch is None else {"stream": batch})
+
+        return name if self._change(add) else None
 
     def _write(self, name: str, documents: DataFrame, posts: DataFrame) -> int:
         at = f"{self.path}/{name}"
@@ -153,19 +212,23 @@ class Store:
         "field_stats": "field string, n_docs bigint, total_len bigint, avgdl double",
     }
 
-    def _read(self, name: str, table: str) -> DataFrame:
+    def _read(self, name: str, table: str, base: int = 0) -> DataFrame:
         reader = self.spark.read
         if table in self._SCHEMAS:
             reader = reader.schema(self._SCHEMAS[table])
         df = reader.parquet(f"{self.path}/{name}/{table}")
-        return df.select("field", *[c for c in df.columns if c != "field"]) if "field" in df.columns else df
+        df = df.select("field", *[c for c in df.columns if c != "field"]) if "field" in df.columns else df
+        return df.withColumn("doc_idx", F.col("doc_idx") + F.lit(base)) if base and "doc_idx" in df.columns else df
 
     def open(self, strict: bool = False) -> Index:
         """The index over all segments.  ``strict``: there must be exactly one."""
         c = self.catalog()
         if not c["segments"] or strict and len(c["segments"]) != 1:
             raise FileNotFoundError(f"{self.path}: {len(c['segments'])} segments")
-        t = {name: reduce(DataFrame.unionByName, [self._read(s, name) for s in c["segments"]]) for name in TABLES}
+        return self._opened(c)
+
+    def _opened(self, c: dict) -> Index:
+        t = {name: reduce(DataFrame.unionByName, [self._read(s["name"], name, s["base"]) for s in c["segments"]]) for name in TABLES}
         lex, stats = t["lexicon"], t["field_stats"]
         if len(c["segments"]) > 1:  # counts add up, averages are made again
             lex = lex.groupBy(*KEYS).agg(F.sum("df").alias("df"))
@@ -173,24 +236,38 @@ class Store:
         return Index(t["documents"], t["postings"], [FieldSpec(**f) for f in c["fields"]], lex, stats, self.path)
 
     def compact(self) -> str | None:
-        """Rewrites all segments as one, in one job a table; nothing to do for fewer than two."""
+        """Rewrites all segments as one, in one job a table; nothing to do for fewer than two.
+
+        Segments that others add meanwhile stay.  Those that were rewritten stay
+        on disk for readers that have them open, until :meth:`vacuum`.
+        """
         c = self.catalog()
         if len(c["segments"]) < 2:
-            return c["segments"][0] if c["segments"] else None
-        whole = self.open()
-        name = f"{c['next']:016X}"
+            return c["segments"][0]["name"] if c["segments"] else None
+        whole = self._opened(c)
+        name = uuid.uuid4().hex
         self._write(name, whole.documents, whole.postings)
-        old = c["segments"]
-        c["segments"], c["next"] = [name], c["next"] + 1
-        self._save(c)
-        fs, path = self._fs()
-        for s in old:
-            fs.delete(path(f"{self.path}/{s}"), True)
+
+        def swap(now: dict) -> dict:
+            if now["segments"][: len(c["segments"])] != c["segments"]:
+                raise ConcurrentChange(f"{self.path}: the segments were compacted by another writer")
+            return now | {"segments": [{"name": name, "base": 0, "docs": c["docs"]}, *now["segments"][len(c["segments"]) :]]}
+
+        self._change(swap)
         return name
 
+    def vacuum(self) -> list[str]:
+        """Removes the folders of segments that the newest catalog does not name; for times without readers of older ones, or writers."""
+        fs, path = self._fs()
+        live = {s["name"] for s in self.catalog()["segments"]}
+        gone = [f.getPath().getName() for f in fs.listStatus(path(self.path)) if f.isDirectory() and f.getPath().getName() not in live]
+        for name in gone:
+            fs.delete(path(f"{self.path}/{name}"), True)
+        return gone
+
     def drop(self) -> None:
-        local = self.path[7:] if self.path.startswith("file://") else self.path
-        shutil.rmtree(local, ignore_errors=True)
+        fs, path = self._fs()
+        fs.delete(path(self.path), True)
 
 
 def merge(a: Index, b: Index) -> Index:

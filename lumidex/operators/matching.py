@@ -51,7 +51,10 @@ def condition(index: Index, clause: Clause, max_k: int = 0, m: int = 10, compat_
             at = (F.col("field") == clause.field) & at
         k = min(max_k, clause.fuzzy)
         if k > 0 and isinstance(clause.value, str):
-            for r in fuzzy_terms(index, clause.value, k, m, clause.field).collect():
+            asked = (clause.value, k, m, clause.field)
+            if asked not in index.expansions:  # once a query, though filter, hits and lexicon all ask
+                index.expansions[asked] = fuzzy_terms(index, *asked).collect()
+            for r in index.expansions[asked]:
                 at = at | ((F.col("field") == r.field) & (F.col("term") == r.term))
         return at
     at = F.col("field") == clause.field

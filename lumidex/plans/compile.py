@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from ..functions.analysis import ANALYZERS, Analyzer
+from ..functions.analysis import Analyzer, analyzer
 from .dsl import Term, parse
 
 
@@ -53,10 +53,10 @@ def compile_query(query: str | list[Term], fields: Mapping[str, str], default: s
         boost = 1.0 if t.boost is None else t.boost
         before = len(bucket)
         if t.match is None:
-            for tok in ANALYZERS[default].local(t.word) if default else [t.word]:
+            for tok in analyzer(default).local(t.word) if default else [t.word]:
                 bucket.append(Keyword(tok, all_field, boost, t.fuzzy or 0))
         else:
-            rules: Analyzer = ANALYZERS[fields.get(t.word) or default or "keyword"]
+            rules: Analyzer = analyzer(fields.get(t.word) or default or "keyword")
             for tok in rules.local(t.match.value):
                 c = t.match.compare
                 if not c:

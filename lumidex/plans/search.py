@@ -61,6 +61,22 @@ class Reader:
     def __init__(self, index: Index, default: str | None = None, all_field: str | None = None, config: SearchConfig = SearchConfig()) -> None:
         self.searcher, self.default, self.all_field = Searcher(index, config), default, all_field
 
+    def reset(self, index: Index) -> Reader:
+        """Goes on with another index, such as a newer state of the same store; what was cached of the old one is freed."""
+        self.close()
+        self.searcher = Searcher(index, self.searcher.config)
+        return self
+
+    def close(self) -> None:
+        """Frees what is cached of the index."""
+        self.searcher.index.close()
+
+    def __enter__(self) -> Reader:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def compile(self, text: str) -> SimpleQuery:
         return compile_query(text, {s.name: s.analyzer for s in self.searcher.index.specs}, self.default, self.all_field)
 

@@ -7,19 +7,22 @@ events (times).  Scores are rounded to six places, ties go to the smaller id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .functions.analysis import ANALYZERS, ENGLISH_STOPS, SPANISH_STOPS, WORD, date_value, float_value, int_value, stem_sql, time_value, tokens_sql
+from .functions.analysis import ANALYZERS, ENGLISH_STOPS, SPANISH_STOPS, WORD, date_value, float_value, int_value, register_analyzer, stem_sql, text_analyzer, time_value, tokens_sql
 from .operators import fields as f
+from .operators.fields import postings
 from .operators.index import Index, Store, field_stats, lexicon, merge
 from .operators.matching import fuzzy_terms, hits
 from .plans.compile import Keyword, Range, SimpleQuery
-from .operators.tables import scratch
+from .operators.tables import numbered, scratch
 from .plans.search import Reader, SearchConfig, Searcher
+from .sources.pages import read_mediawiki, read_ndjson, write_ndjson
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,7 +64,7 @@ def built(spark: SparkSession, sf_dir: str, corpus: str) -> Index:
     if key not in _open:
         id_col, specs = _CORPUS[corpus]
         store = Store(spark, scratch(spark))
-        store.append(_spread(_table(spark, sf_dir, corpus)), id_col, specs, [id_col])
+        store.append(_table(spark, sf_dir, corpus), id_col, specs, [id_col])
         _open[key] = store.open()
     return _open[key]
 
@@ -470,8 +473,8 @@ _add(
 def _halves(spark: SparkSession, sf_dir: str) -> Index:
     rows = _table(spark, sf_dir, "part")
     specs = [s for s in _PART if s.name in ("name", "size")]
-    whole = [Index.of(rows.where(c), "p_partkey", specs, F.row_number().over(Window.orderBy("p_partkey")) - 1) for c in ("p_partkey % 2 = 0", "p_partkey % 2 = 1")]
-    return merge(*whole)
+    halves = [numbered(rows.where(c), "_n", [F.col("p_partkey")]) for c in ("p_partkey % 2 = 0", "p_partkey % 2 = 1")]
+    return merge(*[Index.of(h, "p_partkey", specs, F.col("_n")) for h in halves])
 
 
 def _merged_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,6 +501,98 @@ _add(
     "SELECT CAST(p_partkey AS BIGINT) AS doc_id, row_number() OVER (ORDER BY p_partkey % 2, p_partkey) - 1 AS doc_idx FROM part",
 )
 
+# --- stored segments: appended one by one, compacted, opened ---------------------------
+
+_stored: dict[tuple[str, str], tuple[Store, Store]] = {}
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[Store, Store]:
+    """A store of three segments, and the same compacted."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        specs = [s for s in _PART if s.name in ("name", "size")]
+        both = Store(spark, scratch(spark)), Store(spark, scratch(spark))
+        for store in both:
+            for part in range(3):
+                store.append(_table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 == part), "p_partkey", specs, ["p_partkey"])
+        both[1].compact()
+        both[1].vacuum()
+        _stored[key] = both
+    return _stored[key]
+
+
+def _scored(index: Index) -> DataFrame:
+    scores = Searcher(index).bm25(_mq).join(index.documents, "doc_idx")
+    return scores.select(F.col("doc_id").cast("bigint").alias("id"), F.round("score", 6).alias("score"))
+
+
+_add("store_append_many", lambda spark, d: _scored(_segments(spark, d)[0].open()), ORACLE["segments_equal_single"])
+_add("store_compact", lambda spark, d: _scored(_segments(spark, d)[1].open(strict=True)), ORACLE["segments_equal_single"])
+_add(
+    "store_open_strict",
+    lambda spark, d: _segments(spark, d)[1].open(strict=True).documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "doc_idx"),
+    "SELECT CAST(p_partkey AS BIGINT) AS doc_id, row_number() OVER (ORDER BY p_partkey % 3, p_partkey) - 1 AS doc_idx FROM part",
+)
+_add(
+    "store_postings",
+    lambda spark, d: _segments(spark, d)[0].open().postings.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tokens"), F.count_distinct("doc_idx").alias("n_docs")),
+    f"SELECT field, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT id) AS n_docs FROM ({_values_sql('part', ('name', 'size'))}) GROUP BY field",
+)
+
+# --- analysers and stop lists of one's own -------------------------------------------
+
+
+def _own_analysers() -> None:
+    register_analyzer("by_blank", lambda c: F.split(F.lower(c), "[ \n\t]+"), lambda s: re.split("[ \n\t]+", s.lower()))
+    text_analyzer("en_own", "en", ["the", "and", "small"])
+
+
+def _own_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _own_analysers()
+    rows = _table(spark, sf_dir, "part").withColumn("doc_idx", F.col("p_partkey"))
+    return lexicon(postings(rows, [f.text("blank", "by_blank", "p_name"), f.text("own", "en_own", "p_type")])).select("field", "term", "df")
+
+
+_add(
+    "custom_analyzers",
+    _own_lexicon,
+    f"""SELECT 'blank' AS field, t AS term, count(DISTINCT id) AS df FROM (SELECT p_partkey AS id, unnest(regexp_split_to_array(lower(p_name), '[ \n\t]+')) AS t FROM part) WHERE t <> '' GROUP BY t
+UNION ALL SELECT 'own' AS field, t AS term, count(DISTINCT id) AS df FROM (SELECT p_partkey AS id, unnest({tokens_sql('p_type', 'en', False, 'duckdb')}) AS t FROM part) WHERE t NOT IN ('the', 'and', 'small') GROUP BY t""",
+)
+
+
+def _own_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same analyser on both sides of the engine."""
+    _own_analysers()
+    index = Index.of(_table(spark, sf_dir, "part"), "p_partkey", [f.text("name", "by_blank", "p_name")], F.col("p_partkey"))
+    return Reader(index, "by_blank").query_string('+name:"SMALL"').select(F.col("doc_id").cast("bigint").alias("id"))
+
+
+_add("custom_analyzer_query", _own_query, "SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE list_contains(regexp_split_to_array(lower(p_name), '[ \n\t]+'), 'small')")
+
+# --- sources and sinks -----------------------------------------------------------------
+
+
+def _ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    write_ndjson(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.col("html").alias("content")), path)
+    return read_ndjson(spark, path)
+
+
+_add("ndjson_roundtrip", _ndjson, "SELECT CAST(page_id AS BIGINT) AS id, url AS title, html AS content FROM pages")
+
+
+def _mediawiki(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a MediaWiki export, scanned; texts are compared by their words, since an export trims them."""
+    path = scratch(spark)
+    old, new = (F.struct(F.lit(k).alias("id"), F.col(c).alias("text")) for k, c in ((1, "url"), (2, "html")))
+    pages = _table(spark, sf_dir, "pages").select(F.col("url").alias("title"), F.col("page_id").alias("id"), F.array(old, new).alias("revision"))
+    pages.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    return read_mediawiki(spark, path).select("id", "title", F.size(F.regexp_extract_all("content", F.lit("[a-z]+"), F.lit(0))).cast("bigint").alias("n_words"))
+
+
+_add("mediawiki_scan", _mediawiki, "SELECT CAST(page_id AS BIGINT) AS id, url AS title, CAST(len(regexp_extract_all(html, '[a-z]+')) AS BIGINT) AS n_words FROM pages")
+
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     return QUERIES["dsl_documents"](spark, sf_dir)

@@ -20,10 +20,13 @@ _XML = T.StructType(
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """id, title, content of pages, one JSON object a line, title and content in base64; bad lines are left out."""
+    """id, title, content of pages, one JSON object a line, title and content in base64; bad lines are left out.
+
+    Base64 that is none gives null, bytes that are no UTF-8 become replacement characters.
+    """
     lines = spark.read.text(path).where(F.octet_length("value") <= LINE_LIMIT)
     page = lines.select(F.from_json("value", _JSON, {"mode": "PERMISSIVE"}).alias("p")).where("p.Id is not null")
-    text = lambda c: F.decode(F.unbase64(F.col(c)), "UTF-8")
+    text = lambda c: F.make_valid_utf8(F.try_to_binary(F.col(c), F.lit("base64")).cast("string"))
     return page.select(F.col("p.Id").alias("id"), text("p.Title").alias("title"), text("p.Content").alias("content"))
 
 

@@ -14,19 +14,14 @@ from ..operators.index import Store
 def index_stream(stream: DataFrame, store: Store, id_col: str, specs: Sequence[FieldSpec], checkpoint: str, compact_every: int = 0, **trigger: object) -> StreamingQuery:
     """Appends a segment per non-empty micro-batch; merges all into one after every ``compact_every`` of them.
 
-    A batch that is replayed after a failure is not indexed twice: its number is
-    kept in the catalog.
+    A batch that is replayed after a failure is not indexed twice: its number
+    enters the catalog in the same rename as its segment.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        catalog = store.catalog()
-        if number <= catalog.get("stream", -1) or batch.isEmpty():
+        if batch.isEmpty() or store.append(batch, id_col, specs, batch=number) is None:
             return
-        store.append(batch, id_col, specs)
-        catalog = store.catalog()
-        catalog["stream"] = number
-        store._save(catalog)
-        if compact_every and len(catalog["segments"]) >= compact_every:
+        if compact_every and len(store.catalog()["segments"]) >= compact_every:
             store.compact()
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumidex.functions import scalar as S
+from lumidex.functions.analysis import analyzer, register_analyzer, text_analyzer
 from lumidex.operators import fields as f
-from lumidex.operators.index import Index, Store, merge
+from lumidex.operators.fields import text
+from lumidex.operators.index import ConcurrentChange, Index, Store, merge
 from lumidex.operators.matching import fuzzy_terms
 from lumidex.plans.compile import Keyword, Range, SimpleQuery
 from lumidex.plans.search import Reader, SearchConfig, Searcher
@@ -214,8 +216,10 @@ def test_segments_equal_one_build(spark, frame, index, tmp_path):
     ask = lambda ix: [(r.doc_id, round(r.score, 9)) for r in Reader(ix, "en").query_string("fox;2 +owl size:>2 -tag:x").collect()]
     want = ask(index)
     assert want and ask(store.open()) == want
+    before = store.open()
     store.compact()
-    assert ask(store.open(strict=True)) == want
+    assert ask(store.open(strict=True)) == want and ask(before) == want  # readers of the old segments go on
+    assert len(store.vacuum()) == 3 and store.vacuum() == [] and ask(store.open()) == want
     assert sorted(r.doc_idx for r in store.open().documents.collect()) == list(range(60))
     assert {r.field for r in store.open().restrict(["tag"]).postings.select("field").distinct().collect()} == {"tag"}
     store.drop()
@@ -232,6 +236,64 @@ def test_merge_shifts_and_adds(spark, frame, index):
     assert merge(empty, index).documents.count() == 60
 
 
+def test_writers_side_by_side_lose_nothing(spark, frame, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, str(tmp_path / "ix"))
+    parts = [frame.where((F.col("n") >= lo) & (F.col("n") < lo + 15)) for lo in range(0, 60, 15)]
+    with ThreadPoolExecutor(4) as pool:
+        names = list(pool.map(lambda p: Store(spark, str(tmp_path / "ix")).append(p, "id", SPECS, ["n"]), parts))
+    c = store.catalog()
+    assert sorted(s["name"] for s in c["segments"]) == sorted(names) and c["docs"] == 60
+    assert sorted(r.doc_idx for r in store.open().documents.collect()) == list(range(60))
+
+
+def test_a_change_needs_the_newest_catalog(spark, frame, tmp_path):
+    store = Store(spark, str(tmp_path / "ix"))
+    store.append(frame.where("n < 30"), "id", SPECS, ["n"], batch=0)
+    old = store.catalog()
+    assert store.append(frame.where("n < 30"), "id", SPECS, ["n"], batch=0) is None  # a batch that is replayed
+    store.append(frame.where("n >= 30"), "id", SPECS, ["n"], batch=1)
+    with pytest.raises(ConcurrentChange):
+        store._save(old)
+    (tmp_path / "ix" / ".catalog-dead").write_text("{")  # a writer that died before its rename
+    assert store.catalog()["stream"] == 1 and store.open().documents.count() == 60
+    for _ in range(Store.KEEP + 3):
+        store._save(store.catalog())
+    assert len(list((tmp_path / "ix").glob("catalog-*.json"))) == Store.KEEP and store.open().documents.count() == 60
+
+
+def test_analysers_of_ones_own(spark, tmp_path):
+    register_analyzer("by_comma", lambda c: F.split(F.upper(c), ","), lambda s: s.upper().split(","))
+    text_analyzer("en_few", "en", ["fox"])
+    with pytest.raises(ValueError):
+        register_analyzer("en", lambda c: c, list)
+    with pytest.raises(KeyError):
+        analyzer("unheard-of")
+    df = spark.createDataFrame([("1", "red,big,,red", "the foxes run"), ("2", "small", "a fox"), ("3", None, "dogs")], "id string, tags string, body string")
+    store = Store(spark, str(tmp_path / "ix"))
+    store.append(df, "id", [text("tags", "by_comma"), text("body", "en_few")], ["id"])
+    index = store.open()
+    got = {(r.field, r.term, r.doc_idx): (r.tf, r.dl) for r in index.postings.collect()}
+    assert got == {
+        ("tags", "RED", 0): (2, 3), ("tags", "BIG", 0): (1, 3), ("tags", "SMALL", 1): (1, 1),
+        ("body", "the", 0): (1, 2), ("body", "run", 0): (1, 2), ("body", "a", 1): (1, 1), ("body", "dog", 2): (1, 1),
+    }
+    with Reader(index, "en_few") as reader:
+        assert [r.doc_id for r in reader.query_string('tags:"red"').collect()] == ["1"]
+        assert reader.reset(store.open()).query_string("+dogs").count() == 1
+
+
+def test_invalid_bytes_do_not_end_a_scan(spark, tmp_path):
+    import base64
+    import json
+
+    rows = [(1, b"caf\xe9", b"\xff\xfe ok"), (2, "Größe".encode(), b"")]
+    (tmp_path / "p.json").write_text("".join(json.dumps({"Id": i, "Title": base64.b64encode(t).decode(), "Content": base64.b64encode(c).decode()}) + "\n" for i, t, c in rows) + '{"Id": 3, "Title": "%%%", "Content": null}\n')
+    got = {r.id: (r.title, r.content) for r in read_ndjson(spark, str(tmp_path / "p.json")).collect()}
+    assert got[2] == ("Größe", "") and got[1][0].startswith("caf") and got[1][1].endswith(" ok") and got[3] == (None, None)
+
+
 def test_sources(spark, tmp_path):
     pages = spark.createDataFrame([(1, "Ünï", "text\nof one"), (2, "b", "")], "id long, title string, content string")
     write_ndjson(pages, str(tmp_path / "p"))
