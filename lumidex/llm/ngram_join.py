@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: near duplicates by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard join: near duplicates by a MinHash LSH forest and an exact join of what it leaves out.
 
 A text's set holds the hashes of its N-word shingles (of all its words if they
 are fewer).  Two rows are linked if the Jaccard similarity of their sets is at
@@ -21,15 +21,21 @@ least ``threshold``; a class is a connected component of links.
 4. Where it is met, the runs whose members still belong to several classes are
    gone through (:func:`_crosses`): pairs of members of different classes whose
    signatures allow the threshold are verified.  Members of one class are not
-   paired again, so a cluster of n near copies costs about n pairs, not n^2, and
-   no link that would join two classes is left out.  Runs of more than BUCKET
-   members are split into blocks, and pairs of blocks are tasks: none is capped.
-5. Verification is on the texts themselves.  Nodes are grouped by their least
+   paired again, so a cluster of n near copies costs about n pairs, not n^2.
+   Runs of more than BUCKET members are split into blocks, and pairs of blocks
+   are tasks: none is capped.
+5. What chance left out is found exactly (:func:`rest`).  All sets are put in one
+   order, about from rare to frequent shingles; two sets whose similarity is at
+   least the threshold share a shingle before the last ones, as many as the
+   threshold demands.  Sets are joined by those first shingles, sizes and places
+   leave few pairs over, and these are verified.  Any order is right; the
+   frequencies, counted in SLOTS bytes at most, only make it fast.
+6. Verification is on the texts themselves.  Nodes are grouped by their least
    neighbour and blocks of SHINGLES shingles, so a text travels once to each group
    it has pairs in, not once a pair, and a task's memory is bounded.
 
-``degrees=True`` verifies all candidate pairs instead of those between classes
-only, so that ``n_links`` is complete; that is n^2 in a cluster of n different texts.
+So classes are those of all links.  ``degrees=True`` also finds the links within
+a class, so that ``n_links`` is complete; that is n^2 in a cluster of n different texts.
 
 Defined cases: a text without words (null included) has an empty set: it is
 linked to nothing and is a class of its own.  Repeated rows are copies.  Null
@@ -41,6 +47,7 @@ null class id.  Empty tables give empty results.  Other columns are ignored by
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import forget, isolate, pick, ship, tidy, written
+from ._shared import forget, fresh, isolate, local_path, pick, ship, tidy, written
 
 N = 3
 THRESHOLD = 0.5
@@ -65,6 +72,10 @@ SHINGLES = 1 << 21
 #: Standard errors by which a pair's signature may miss the threshold before the pair is left out; None verifies all.
 SCREEN = 5.0
 SEEN = 1 << 18
+#: Slots of the table of shingle frequencies, at most, and pieces in which it is summed up.
+SLOTS, PIECES = 1 << 26, 64
+#: Shingles or pairs that a task gathers before it sends them on.
+GATHER = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -287,31 +298,40 @@ def _runs(rows: DataFrame, least: float) -> DataFrame:
     return rows.select("key", "bi", "bj", "own", "nid", "label", "sig").mapInArrow(tidy(go), "a long, b long")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows (p, q, nid, label, ...) of the runs (p, q) that hold several classes, and how many blocks each has (bm, bo).
+
+    Within a run the class of its least node (often all of the run; ``mine``) is
+    not paired with itself: its members and the others are cut into blocks of BUCKET.
+    """
+    each = rows.groupBy("p", "q", "label").agg(F.count(F.lit(1)).alias("c"), F.min("nid").alias("least"))
+    ends = each.groupBy("p", "q").agg(F.min(F.struct("least", "label", "c")).alias("f"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = ends.select("p", "q", F.col("f.label").alias("first"), F.ceil(F.col("f.c") / BUCKET).cast("int").alias("bm"), F.ceil((F.col("c") - F.col("f.c")) / BUCKET).cast("int").alias("bo"))
+    return rows.join(blocks, ["p", "q"]).withColumn("mine", F.col("label") == F.col("first"))
+
+
+def _cells(spots: DataFrame) -> DataFrame:
+    """Every other block of a run meets each block of either kind in a cell (bi, bj) of its own; ``own`` is the row's block."""
+    other = F.pmod(F.xxhash64("nid"), F.col("bo")).cast("int")
+    spots = spots.withColumn("own", F.when(F.col("mine"), -1 - F.pmod(F.xxhash64("nid"), F.col("bm")).cast("int")).otherwise(other))
+    others = F.sequence(F.lit(0), F.col("bo") - 1)
+    cell = F.when(F.col("mine"), others).otherwise(F.concat(others, F.transform(F.sequence(F.lit(1), F.col("bm")), lambda x: -x)))
+    return spots.withColumn("with", F.explode(cell)).withColumn("bi", F.least("own", "with")).withColumn("bj", F.greatest("own", "with"))
+
+
 def _crosses(trie: DataFrame, depth: int, nodes: DataFrame, labels: DataFrame | None, least: float, done: DataFrame) -> DataFrame:
     """Candidate pairs (a < b) of members of a run that belong to different classes, but for those that are ``done``.
 
-    labels: (nid, label); a node without one is a class of its own.  Within a run
-    the class of its least node (often all of the run) is not paired with itself:
-    its members and the others are cut into blocks of BUCKET, and every other
-    block meets each block of either kind in a cell of its own.
+    labels: (nid, label); a node without one is a class of its own.
     """
     rows = _members(trie, depth)
     if labels is None:
         rows = rows.withColumn("label", F.col("nid"))
     else:
         rows = rows.join(labels, "nid", "left").select("p", "q", "nid", F.coalesce("label", "nid").alias("label"))
-    each = rows.groupBy("p", "q", "label").agg(F.count(F.lit(1)).alias("c"), F.min("nid").alias("least"))
-    ends = each.groupBy("p", "q").agg(F.min(F.struct("least", "label", "c")).alias("f"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    blocks = ends.select("p", "q", F.col("f.label").alias("first"), F.ceil(F.col("f.c") / BUCKET).cast("int").alias("bm"), F.ceil((F.col("c") - F.col("f.c")) / BUCKET).cast("int").alias("bo"))
-    rows = rows.join(blocks, ["p", "q"]).withColumn("mine", F.col("label") == F.col("first"))
-    spots = rows.groupBy("nid", "label").agg(F.collect_list(F.struct("p", "q", "mine", "bm", "bo")).alias("k"))
+    spots = _blocks(rows).groupBy("nid", "label").agg(F.collect_list(F.struct("p", "q", "mine", "bm", "bo")).alias("k"))
     spots = nodes.select("nid", "sig").join(spots, "nid").select("nid", "sig", "label", F.inline("k"))
-    other = F.pmod(F.xxhash64("nid"), F.col("bo")).cast("int")
-    spots = spots.withColumn("own", F.when(F.col("mine"), -1 - F.pmod(F.xxhash64("nid"), F.col("bm")).cast("int")).otherwise(other))
-    others = F.sequence(F.lit(0), F.col("bo") - 1)
-    cell = F.when(F.col("mine"), others).otherwise(F.concat(others, F.transform(F.sequence(F.lit(1), F.col("bm")), lambda x: -x)))
-    spots = spots.withColumn("with", F.explode(cell))
-    spots = spots.select("nid", "sig", "label", "own", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), F.xxhash64("p", "q").alias("key"))
+    spots = _cells(spots).select("nid", "sig", "label", "own", "bi", "bj", F.xxhash64("p", "q").alias("key"))
     spots = spots.repartition(_parts(nodes), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return written(_runs(spots, least).distinct().join(done, ["a", "b"], "left_anti"), "crosses")
 
@@ -403,6 +423,255 @@ def links(store: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float
     return out
 
 
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, shingle hashes, bounds) of batches whose last column is a compressed text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        if len(b):
+            column = pa.array([unpack(z) for z in b.column(b.num_columns - 1).to_pylist()], pa.binary()).cast(pa.string())
+            for first, key, bounds in shingle_sets(column, n):
+                yield b.slice(first, len(bounds) - 1), key, bounds
+
+
+def _frequencies(store: DataFrame, slots: int, n: int) -> str:
+    """Path of a table of ``slots`` bytes: on a log scale, how many shingles of the nodes fall into each slot; 1 is one."""
+    spark = store.sparkSession
+    path = local_path(fresh(spark, "frequencies"))
+    with open(path, "wb") as f:
+        f.truncate(slots)
+    width = slots // PIECES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+
+        def send(held: list[np.ndarray]) -> pa.RecordBatch:
+            slot, c = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.searchsorted(slot, np.arange(PIECES + 1) * width)
+            some = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if hi > lo]
+            z = [squeeze(np.diff(slot[lo:hi], prepend=np.uint32(i * width)).tobytes() + c[lo:hi].astype(np.uint32).tobytes()) for i, lo, hi in some]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()), pa.array(z, pa.binary())], names=["piece", "z"])
+
+        held, size = [], 0
+        for _, key, _ in _sets(batches, n):
+            held.append((key & np.uint64(slots - 1)).astype(np.uint32))
+            size += len(key)
+            if size >= GATHER:
+                yield send(held)
+                held, size = [], 0
+        if size:
+            yield send(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, total = None, np.zeros(width, np.int64)
+
+        def put() -> None:
+            level = np.where(total < 2, total, np.minimum(255, 1 + np.ceil(8 * np.log2(np.maximum(total, 1)))))
+            with open(path, "r+b") as f:
+                f.seek(now * width)
+                f.write(level.astype(np.uint8).tobytes())
+
+        done = 0
+        for b in batches:
+            for piece, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if piece != now:
+                    if now is not None:
+                        put()
+                    now, done = piece, done + 1
+                    total[:] = 0
+                slot, c = np.frombuffer(unpack(z), dtype=np.uint32).reshape(2, -1)
+                total[np.cumsum(slot, dtype=np.int64)] += c
+        if now is not None:
+            put()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
+
+    counted = store.select("z").mapInArrow(tidy(count), "piece int, z binary").repartition(min(PIECES, _parts(store)), "piece").sortWithinPartitions("piece")
+    counted.mapInArrow(tidy(add), "done long").agg(F.sum("done")).collect()
+    return path
+
+
+def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int) -> DataFrame:
+    """store: nid, label, z.  (bucket, z): packed (shingle, nid, label, place, shingles) of the first shingles of each set.
+
+    All sets are in one order, rare shingles first.  The first shingle that two
+    linked sets have in common lies before all those that the threshold demands,
+    so only shingles with that many behind them are sent.  A shingle alone in its
+    slot is in no other set and is not sent.
+    """
+    parts = _parts(store)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.memmap(path, np.uint8, "r")
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+
+        def send(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            key, nid, label, place, size = [np.concatenate(c) for c in zip(*held)]
+            bucket = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
+            ids, z = [], []
+            for i, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                if hi > lo:
+                    at = order[lo:hi]
+                    steps = [np.diff(c[at], prepend=0) for c in (nid, label, size)]
+                    ids.append(i)
+                    z.append(squeeze(b"".join([*[c.astype(np.int64).tobytes() for c in steps], key[at].astype(np.uint32).tobytes(), place[at].astype(np.uint32).tobytes()])))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(z, pa.binary())], names=["bucket", "z"])
+
+        held, many = [], 0
+        for rows, key, bounds in _sets(batches, n):
+            size = np.diff(bounds)
+            doc = np.repeat(np.arange(len(size)), size)
+            rare = level[key & np.uint64(slots - 1)]
+            order = np.argsort(doc << 8 | rare, kind="stable")  # keys ascend within a row
+            place = np.arange(len(key)) - bounds[doc]
+            at = np.flatnonzero((size[doc] - place >= np.ceil(threshold * size - 1e-6)[doc]) & (rare[order] != 1))
+            nid, label = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            held.append([key[order[at]], nid[doc[at]], label[doc[at]], place[at], size[doc[at]]])
+            many += len(at)
+            if many >= GATHER:
+                yield send(held)
+                held, many = [], 0
+        if many:
+            yield send(held)
+
+    return store.select("nid", "label", "z").mapInArrow(tidy(go), "bucket int, z binary")
+
+
+def _meet(run: np.ndarray, nid: np.ndarray, label: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: float, own: np.ndarray | None = None, cross: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes in a run (ascending; sizes ascend within it) that may still have enough shingles in common from there on."""
+    ends = np.searchsorted(run, run, side="right")
+    at, step, held, many = np.arange(len(run)), 0, [], 0
+
+    def send() -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))
+        a, b = pairs[new].T
+        return pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(b.copy())], names=["a", "b"])
+
+    while True:
+        step += 1
+        at = at[at + step < ends[at]]
+        at = at[size[at] >= threshold * size[at + step] - 1e-6]
+        if not len(at):
+            break
+        for lo in range(0, len(at), 1 << 16):
+            i = at[lo : lo + (1 << 16)]
+            j = i + step
+            common = np.minimum(size[i] - place[i], size[j] - place[j])
+            ok = (common >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-6) & (label[i] != label[j])
+            if own is not None:
+                ok &= ~cross[i] | (own[i] != own[j])
+            i, j = nid[i[ok]], nid[j[ok]]
+            held.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+            many += len(i)
+            if many >= GATHER:
+                yield send()
+                held, many = [], 0
+    if many:
+        yield send()
+
+
+def _shared(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs that share a shingle of their prefixes; of runs of more than BUCKET sets the members, b being null, go along instead."""
+    names = ["a", "b", "key", "label", "place", "size"]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def flush(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for z in held:
+                raw = unpack(z)
+                m = len(raw) // 32
+                for c, x in zip(cols, np.frombuffer(raw, np.int64, 3 * m).reshape(3, m).cumsum(axis=1)):
+                    c.append(x)
+                for c, x in zip(cols[3:], np.frombuffer(raw, np.uint32, 2 * m, 24 * m).reshape(2, m)):
+                    c.append(x)
+            nid, label, size, key, place = [np.concatenate(c) for c in cols]
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(key[order].astype(np.int64)) != 0))
+            count = np.diff(np.append(first, len(key)))
+            mixed = np.minimum.reduceat(label[order], first) != np.maximum.reduceat(label[order], first)
+            order = order[np.repeat(mixed, count)]
+            order = order[np.lexsort((size[order], key[order]))]
+            hot = np.repeat(count[mixed] > BUCKET, count[mixed])
+            nid, label, size, key, place = nid[order], label[order], size[order], key[order].astype(np.int64), place[order].astype(np.int64)
+            few = ~hot
+            for b in _meet(key[few], nid[few], label[few], place[few], size[few], threshold):
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(len(b), pa.int64())] * 4], names=names)
+            if hot.any():
+                cols = [nid[hot], None, bucket << 32 | key[hot], label[hot], place[hot], size[hot]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(hot.sum()), pa.int64()) if c is None else pa.array(c) for c in cols], names=names)
+
+        now, held = None, []
+        for b in batches:
+            for bucket, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket != now:
+                    if held:
+                        yield from flush(now, held)
+                    now, held = bucket, []
+                held.append(z)
+        if held:
+            yield from flush(now, held)
+
+    rows = prefixes.repartition(_parts(prefixes), "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(tidy(go), ", ".join(f"{c} long" for c in names))
+
+
+def _hot(spots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs in the cells (key, bi, bj) of sorted partitions, sizes ascending."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, bi, bj, own, nid, label, place, size = [t[c].to_numpy() for c in t.column_names]
+            yield from _meet(_cell_numbers(key, bi, bj), nid, label, place, size, threshold, own, bi != bj)
+
+        held, many = [], 0
+        for b in batches:
+            held.append(b)
+            many += len(b)
+            if many < 10_000:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            run = _cell_numbers(*[t[c].to_numpy() for c in t.column_names[:3]])
+            cut = int(np.searchsorted(run, run[-1]))
+            if cut:
+                yield from flush(t.slice(0, cut))
+                t = t.slice(cut)
+            held, many = t.to_batches(), t.num_rows
+        if many:
+            yield from flush(pa.Table.from_batches(held).combine_chunks())
+
+    return spots.select("key", "bi", "bj", "own", "nid", "label", "place", "size").mapInArrow(tidy(go), "a long, b long")
+
+
+def _cell_numbers(key: np.ndarray, bi: np.ndarray, bj: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.append(0, (np.diff(key) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0)))
+
+
+def rest(store: DataFrame, labels: DataFrame | None, shingles: int, threshold: float, n: int, done: DataFrame) -> DataFrame:
+    """Candidate pairs (a < b) among which are all links of different classes, but for those that are ``done``.
+
+    store: nid, z; labels: (nid, label), None for every node a class of its own.
+    Prefixes of sets in one order are joined by shingle, which misses no link.
+    """
+    slots = max(1 << 16, min(SLOTS, 1 << max(shingles - 1, 1).bit_length()))
+    path = _frequencies(store, slots, n)
+    own = store.withColumn("label", F.col("nid")) if labels is None else store.join(labels, "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"), "z")
+    shared = written(_shared(_prefixes(own, path, slots, threshold, n), threshold), "shared")
+    os.remove(path)
+    pairs = shared.where("b is not null").select("a", "b")
+    hot = shared.where("b is null").select(F.col("key").alias("p"), F.lit(0).alias("q"), F.col("a").alias("nid"), "label", "place", "size")
+    if hot.limit(1).count():
+        spots = _cells(_blocks(hot)).withColumnRenamed("p", "key").repartition(_parts(store), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "size")
+        pairs = pairs.unionByName(_hot(spots, threshold))
+    out = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "rest")
+    forget(shared)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(nid, label) of every node of an edge; label is the least node of its component.
 
@@ -428,14 +697,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def matched_links(docs: DataFrame, nodes: DataFrame, text: str, threshold: float, recall: float, n: int, degrees: bool = False) -> tuple[DataFrame, DataFrame, int, float]:
-    """(links between nodes, classes of linked nodes, length to which prefixes were shortened, estimated recall).
+    """(links between nodes, classes of linked nodes, length to which the forest's prefixes were shortened, its estimated recall).
 
-    docs: the texts; nodes: nid, tid, n, keys, sig.
+    docs: the texts; nodes: nid, tid, n, keys, sig.  The links settle all classes; with ``degrees`` they are all there are.
     """
     width = TREES * DEPTH
     least = 0.0 if SCREEN is None else max(0.0, threshold - SCREEN * math.sqrt(threshold * (1 - threshold) / width))
     trie = forest(nodes)
-    found = done = store = None
+    store = written(_texts(docs, text).dropDuplicates(["tid"]).join(nodes.select("nid", "tid"), "tid").select("nid", "z"), "texts")
+    found = done = None
 
     def add(one: DataFrame | None, more: DataFrame) -> DataFrame:
         return more if one is None else one.unionByName(more)
@@ -445,18 +715,13 @@ def matched_links(docs: DataFrame, nodes: DataFrame, text: str, threshold: float
         return recall_of([(max(r["s"], threshold), r["n"]) for r in near], depth, threshold)
 
     for depth in range(DEPTH, 0, -1):
-        company = _members(trie, depth).select("nid").distinct()
-        if store is not None:
-            company = company.join(store.select("nid"), "nid", "left_anti")
-        ask = nodes.select("nid", "tid").join(company, "nid")
-        store = add(store, written(_texts(docs, text).dropDuplicates(["tid"]).join(ask, "tid").select("nid", "z"), "texts"))
         pairs = written(_stars(trie, depth, done), "stars")
         done, found = add(done, pairs), add(found, links(store, nodes, pairs, threshold, n))
         if depth > 1 and judged(depth) < recall:
             continue
         labels = components(found)
         got = judged(depth)
-        pairs = _crosses(trie, depth, nodes, None if degrees else labels, least, done)
+        pairs = _crosses(trie, depth, nodes, labels, least, done)
         if pairs.limit(1).count():
             done, more = add(done, pairs), links(store, nodes, pairs, threshold, n)
             if more.limit(1).count():
@@ -464,6 +729,14 @@ def matched_links(docs: DataFrame, nodes: DataFrame, text: str, threshold: float
                 labels, got = components(found), judged(depth)
         if depth == 1 or got >= recall:
             break
+    forget(trie)
+    shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = rest(store, None if degrees else labels, shingles, threshold, n, done)
+    if pairs.limit(1).count():
+        more = links(store, nodes, pairs, threshold, n)
+        if more.limit(1).count():
+            found = add(found, more)
+            labels = components(found)
     return found, labels, depth, got
 
 
@@ -497,7 +770,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
     """Per row: id, class_id (least id of its class, its representative), n_links (other rows known to be linked to it,
     copies included), n_texts (other shingle sets known to be linked to its own), class_size.
 
-    Links are known where they were verified: enough to settle every class, and all with ``degrees``.
+    Links are known where they were verified: enough to settle every class, and all there are with ``degrees``.
     """
     rows, full = _solve(pick(docs, id_col, text), id_col, text, threshold, recall, n, degrees)
     joined = rows.where("n > 0").select("id", "set").join(full, "set").select(F.col("id").alias(id_col), "class_id", "n_links", "n_texts", "class_size")

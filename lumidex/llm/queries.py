@@ -57,7 +57,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(table(spark, sf_dir, "documents"))
+    return ngram_join.classes(table(spark, sf_dir, "documents"), degrees=True)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_lm, op2_token_store, op3_language_id, op4_url_filter, op5_sentencepiece, op6_topk_search, op7_quality_rules, op8_substring_dedup, op9_source_mix, op10_ngram_join)}

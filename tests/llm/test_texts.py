@@ -342,6 +342,37 @@ def test_classes_that_meet_in_a_run_are_joined(spark, monkeypatch, bucket):
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in ngram_join.classes(df).collect()) == Counter((i, c, n) for i, c, _, n in brute_classes(rows))
 
 
+def test_links_that_the_forest_leaves_out_are_found(spark, monkeypatch):
+    """Links right at the threshold among so many close ones that the forest's recall looks met."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 3)
+    split = []
+    hot = ngram_join._hot
+    monkeypatch.setattr(ngram_join, "_hot", lambda *args: split.append(1) or hot(*args))
+    texts = []
+    for g in range(400):
+        base = [f"c{g}w{i}" for i in range(40)]
+        texts += [base, [*base[:39], "x"]]
+    for g in range(12):
+        base = [f"l{g}w{i}" for i in range(38)]
+        texts += [base, [*base[:26], *[f"o{g}w{i}" for i in range(12)]]]  # 24 of 48 shingles
+    base = [f"b{i}" for i in range(60)]
+    texts += [[*base[:i], f"y{i}", *base[i + 1 :]] for i in range(0, 60, 7)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert sum(n == 1 for _, _, n, _ in want) == 824
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in ngram_join.classes(df).collect()) == Counter((i, c, n) for i, c, _, n in want)
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in ngram_join.classes(df, degrees=True).collect()) == Counter(want)
+    assert split
+
+
+def test_the_query_counts_all_links(spark, docs):
+    from lumidex.llm.queries import QUERIES
+
+    got = QUERIES["op10_ngram_join"](spark, "/root/testdata/sf0.001").collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got) == Counter(brute_classes(pairs(docs)))
+
+
 def test_one_of_each_class_stays(odd, docs):
     for df in (odd, docs):
         rows = pairs(df)
