@@ -73,7 +73,7 @@ SHINGLES = 1 << 21
 SCREEN = 5.0
 SEEN = 1 << 18
 #: Slots of the table of shingle frequencies, at most, and pieces in which it is summed up.
-SLOTS, PIECES = 1 << 26, 64
+SLOTS, PIECES = 1 << 27, 64
 #: Shingles or pairs that a task gathers before it sends them on.
 GATHER = 1 << 20
 
@@ -491,7 +491,7 @@ def _frequencies(store: DataFrame, slots: int, n: int) -> str:
 
 
 def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int) -> DataFrame:
-    """store: nid, label, z.  (bucket, z): packed (shingle, nid, label, place, shingles) of the first shingles of each set.
+    """store: nid, label, z.  (bucket, z): packed (shingle, nid, label, place, shingles, the shingle before) of the first shingles of each set.
 
     All sets are in one order, rare shingles first.  The first shingle that two
     linked sets have in common lies before all those that the threshold demands,
@@ -505,7 +505,7 @@ def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int)
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def send(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-            key, nid, label, place, size = [np.concatenate(c) for c in zip(*held)]
+            key, nid, label, place, size, before = [np.concatenate(c) for c in zip(*held)]
             bucket = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(parts + 1))
@@ -515,7 +515,7 @@ def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int)
                     at = order[lo:hi]
                     steps = [np.diff(c[at], prepend=0) for c in (nid, label, size)]
                     ids.append(i)
-                    z.append(squeeze(b"".join([*[c.astype(np.int64).tobytes() for c in steps], key[at].astype(np.uint32).tobytes(), place[at].astype(np.uint32).tobytes()])))
+                    z.append(squeeze(b"".join([*[c.astype(np.int64).tobytes() for c in steps], before[at].tobytes(), key[at].astype(np.uint32).tobytes(), place[at].astype(np.uint32).tobytes()])))
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(z, pa.binary())], names=["bucket", "z"])
 
         held, many = [], 0
@@ -527,7 +527,7 @@ def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int)
             place = np.arange(len(key)) - bounds[doc]
             at = np.flatnonzero((size[doc] - place >= np.ceil(threshold * size - 1e-6)[doc]) & (rare[order] != 1))
             nid, label = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            held.append([key[order[at]], nid[doc[at]], label[doc[at]], place[at], size[doc[at]]])
+            held.append([key[order[at]], nid[doc[at]], label[doc[at]], place[at], size[doc[at]], key[order[at - 1]].view(np.int64)])
             many += len(at)
             if many >= GATHER:
                 yield send(held)
@@ -538,8 +538,11 @@ def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int)
     return store.select("nid", "label", "z").mapInArrow(tidy(go), "bucket int, z binary")
 
 
-def _meet(run: np.ndarray, nid: np.ndarray, label: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: float, own: np.ndarray | None = None, cross: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in a run (ascending; sizes ascend within it) that may still have enough shingles in common from there on."""
+def _meet(run: np.ndarray, nid: np.ndarray, label: np.ndarray, place: np.ndarray, size: np.ndarray, before: np.ndarray, threshold: float, own: np.ndarray | None = None, cross: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes in a run (ascending; sizes ascend within it) that may still have enough shingles in common from there on.
+
+    Where both have the same shingle before, this is not the first one in common, at which the pair is given.
+    """
     ends = np.searchsorted(run, run, side="right")
     at, step, held, many = np.arange(len(run)), 0, [], 0
 
@@ -561,6 +564,7 @@ def _meet(run: np.ndarray, nid: np.ndarray, label: np.ndarray, place: np.ndarray
             j = i + step
             common = np.minimum(size[i] - place[i], size[j] - place[j])
             ok = (common >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-6) & (label[i] != label[j])
+            ok &= (before[i] != before[j]) | (place[i] == 0) | (place[j] == 0)
             if own is not None:
                 ok &= ~cross[i] | (own[i] != own[j])
             i, j = nid[i[ok]], nid[j[ok]]
@@ -575,21 +579,22 @@ def _meet(run: np.ndarray, nid: np.ndarray, label: np.ndarray, place: np.ndarray
 
 def _shared(prefixes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs that share a shingle of their prefixes; of runs of more than BUCKET sets the members, b being null, go along instead."""
-    names = ["a", "b", "key", "label", "place", "size"]
+    names = ["a", "b", "key", "label", "place", "size", "before"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
 
         def flush(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for z in held:
                 raw = unpack(z)
-                m = len(raw) // 32
+                m = len(raw) // 40
                 for c, x in zip(cols, np.frombuffer(raw, np.int64, 3 * m).reshape(3, m).cumsum(axis=1)):
                     c.append(x)
-                for c, x in zip(cols[3:], np.frombuffer(raw, np.uint32, 2 * m, 24 * m).reshape(2, m)):
+                cols[3].append(np.frombuffer(raw, np.int64, m, 24 * m))
+                for c, x in zip(cols[4:], np.frombuffer(raw, np.uint32, 2 * m, 32 * m).reshape(2, m)):
                     c.append(x)
-            nid, label, size, key, place = [np.concatenate(c) for c in cols]
+            nid, label, size, before, key, place = [np.concatenate(c) for c in cols]
             order = np.argsort(key, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(key[order].astype(np.int64)) != 0))
             count = np.diff(np.append(first, len(key)))
@@ -597,12 +602,12 @@ def _shared(prefixes: DataFrame, threshold: float) -> DataFrame:
             order = order[np.repeat(mixed, count)]
             order = order[np.lexsort((size[order], key[order]))]
             hot = np.repeat(count[mixed] > BUCKET, count[mixed])
-            nid, label, size, key, place = nid[order], label[order], size[order], key[order].astype(np.int64), place[order].astype(np.int64)
+            nid, label, size, before, key, place = nid[order], label[order], size[order], before[order], key[order].astype(np.int64), place[order].astype(np.int64)
             few = ~hot
-            for b in _meet(key[few], nid[few], label[few], place[few], size[few], threshold):
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(len(b), pa.int64())] * 4], names=names)
+            for b in _meet(key[few], nid[few], label[few], place[few], size[few], before[few], threshold):
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(len(b), pa.int64())] * 5], names=names)
             if hot.any():
-                cols = [nid[hot], None, bucket << 32 | key[hot], label[hot], place[hot], size[hot]]
+                cols = [nid[hot], None, bucket << 32 | key[hot], label[hot], place[hot], size[hot], before[hot]]
                 yield pa.RecordBatch.from_arrays([pa.nulls(int(hot.sum()), pa.int64()) if c is None else pa.array(c) for c in cols], names=names)
 
         now, held = None, []
@@ -625,8 +630,8 @@ def _hot(spots: DataFrame, threshold: float) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, bi, bj, own, nid, label, place, size = [t[c].to_numpy() for c in t.column_names]
-            yield from _meet(_cell_numbers(key, bi, bj), nid, label, place, size, threshold, own, bi != bj)
+            key, bi, bj, own, nid, label, place, size, before = [t[c].to_numpy() for c in t.column_names]
+            yield from _meet(_cell_numbers(key, bi, bj), nid, label, place, size, before, threshold, own, bi != bj)
 
         held, many = [], 0
         for b in batches:
@@ -644,7 +649,7 @@ def _hot(spots: DataFrame, threshold: float) -> DataFrame:
         if many:
             yield from flush(pa.Table.from_batches(held).combine_chunks())
 
-    return spots.select("key", "bi", "bj", "own", "nid", "label", "place", "size").mapInArrow(tidy(go), "a long, b long")
+    return spots.select("key", "bi", "bj", "own", "nid", "label", "place", "size", "before").mapInArrow(tidy(go), "a long, b long")
 
 
 def _cell_numbers(key: np.ndarray, bi: np.ndarray, bj: np.ndarray) -> np.ndarray:
@@ -663,7 +668,7 @@ def rest(store: DataFrame, labels: DataFrame | None, shingles: int, threshold: f
     shared = written(_shared(_prefixes(own, path, slots, threshold, n), threshold), "shared")
     os.remove(path)
     pairs = shared.where("b is not null").select("a", "b")
-    hot = shared.where("b is null").select(F.col("key").alias("p"), F.lit(0).alias("q"), F.col("a").alias("nid"), "label", "place", "size")
+    hot = shared.where("b is null").select(F.col("key").alias("p"), F.lit(0).alias("q"), F.col("a").alias("nid"), "label", "place", "size", "before")
     if hot.limit(1).count():
         spots = _cells(_blocks(hot)).withColumnRenamed("p", "key").repartition(_parts(store), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "size")
         pairs = pairs.unionByName(_hot(spots, threshold))
