@@ -29,13 +29,19 @@ least ``threshold``; a class is a connected component of links.
    least the threshold share a shingle before the last ones, as many as the
    threshold demands.  Sets are joined by those first shingles, sizes and places
    leave few pairs over, and these are verified.  Any order is right; the
-   frequencies, counted in SLOTS bytes at most, only make it fast.
-6. Verification is on the texts themselves.  Nodes are grouped by their least
-   neighbour and blocks of SHINGLES shingles, so a text travels once to each group
-   it has pairs in, not once a pair, and a task's memory is bounded.
+   frequencies, counted in SLOTS bytes at most, only make it fast.  Shingles of a
+   single set, told by BITS bits at most, come first and are not sent: a text that
+   is like no other mostly sends nothing.
+6. Verification is on the texts themselves.  They lie compressed in packs in the
+   shared folder (:func:`_packs`) and are read from there, so none is shuffled.
+   Nodes are grouped by their least neighbour and blocks of SHINGLES shingles, so
+   a text is read once for each group it has pairs in, not once a pair, and a
+   task's memory is bounded.
 
 So classes are those of all links.  ``degrees=True`` also finds the links within
-a class, so that ``n_links`` is complete; that is n^2 in a cluster of n different texts.
+a class, so that ``n_links`` is complete; that is n^2 in a cluster of n different
+texts.  The exact join then goes through all pairs, of one class or not, so step 4
+is left to it.
 
 Defined cases: a text without words (null included) has an empty set: it is
 linked to nothing and is a class of its own.  Repeated rows are copies.  Null
@@ -48,12 +54,15 @@ from __future__ import annotations
 
 import math
 import os
-from collections.abc import Iterable, Iterator
+import shutil
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,8 +81,10 @@ SHINGLES = 1 << 21
 #: Standard errors by which a pair's signature may miss the threshold before the pair is left out; None verifies all.
 SCREEN = 5.0
 SEEN = 1 << 18
-#: Slots of the table of shingle frequencies, at most, and pieces in which it is summed up.
-SLOTS, PIECES = 1 << 27, 64
+#: Slots of the table of shingle frequencies and of the finer one that tells shingles of a single set, at most; slots of the latter that are summed up at once.
+SLOTS, BITS, PIECE = 1 << 27, 1 << 34, 1 << 23
+#: Packs of texts that a task has open at once.
+OPEN = 128
 #: Shingles or pairs that a task gathers before it sends them on.
 GATHER = 1 << 20
 
@@ -336,17 +347,20 @@ def _crosses(trie: DataFrame, depth: int, nodes: DataFrame, labels: DataFrame |
     return written(_runs(spots, least).distinct().join(done, ["a", "b"], "left_anti"), "crosses")
 
 
-def _verify(work: DataFrame, threshold: float, n: int) -> DataFrame:
-    """work: (task, kind, a, b, z) sorted by (task, kind): texts of a task (kind 0), then its candidate pairs."""
+def _verify(work: DataFrame, root: str, threshold: float, n: int) -> DataFrame:
+    """work: (task, kind, a, b, pack, at, size) sorted by (task, kind): texts of a task (kind 0), then its candidate pairs."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        with _reader(root) as read:
+            yield from judge(batches, read)
+
+    def judge(batches: Iterator[pa.RecordBatch], read: Callable[[int, int, int], bytes]) -> Iterator[pa.RecordBatch]:
         task, sets = None, {}
-        waiting: list[tuple[int, bytes]] = []
+        waiting: list[tuple[int, list[int]]] = []
 
         def settle() -> None:
             if waiting:
-                column = pa.array([unpack(z) for _, z in waiting], pa.binary()).cast(pa.string())
+                column = pa.array([read(*x) for _, x in waiting], pa.binary()).cast(pa.string())
                 for first, key, bounds in shingle_sets(column, n):
                     for d in range(len(bounds) - 1):
                         sets[waiting[first + d][0]] = key[bounds[d] : bounds[d + 1]].copy()
@@ -354,13 +368,13 @@ def _verify(work: DataFrame, threshold: float, n: int) -> DataFrame:
 
         for batch in batches:
             out: list[list] = [[], [], []]
-            for t, kind, a, b, z in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            for t, kind, a, b, *place in zip(*[batch.column(i).to_pylist() for i in range(7)]):
                 if t != task:
                     task = t
                     sets.clear()
                     waiting.clear()
                 if kind == 0:
-                    waiting.append((a, z))
+                    waiting.append((a, place))
                     continue
                 settle()
                 x, y = sets[a], sets[b]
@@ -380,32 +394,65 @@ def _verify(work: DataFrame, threshold: float, n: int) -> DataFrame:
     return work.mapInArrow(tidy(go), "a long, b long, similarity double")
 
 
-def _texts(docs: DataFrame, text: str) -> DataFrame:
-    """(tid, compressed text); a copy seen before in the same task is left out."""
+def _packs(docs: DataFrame, nodes: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """((nid, pack, at, size), folder): where in the packs of the folder the compressed text of each node lies.
+
+    Each attempt of a task writes a pack of its own, so rows only point into packs
+    that were ended.  A copy seen before in the same task is left out.
+    """
+    root = local_path(fresh(docs.sparkSession, "packs"))
+    os.makedirs(root)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, None] = {}
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            data, off = W.string_buffers(b.column(0))
-            tid, z = [], []
-            for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
-                raw = data[lo:hi].tobytes()
-                key = xxhash.xxh3_128_digest(raw)
-                if key in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.pop(next(iter(seen)))
-                seen[key] = None
-                tid.append(key)
-                z.append(squeeze(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(tid, pa.binary()), pa.array(z, pa.binary())], names=["tid", "z"])
+        pack, end = TaskContext.get().taskAttemptId(), 0
+        with open(f"{root}/{pack}", "wb", buffering=1 << 20) as f:
+            for b in batches:
+                data, off = W.string_buffers(b.column(0))
+                tid, at, size = [], [], []
+                for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
+                    raw = data[lo:hi].tobytes()
+                    key = xxhash.xxh3_128_digest(raw)
+                    if key in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.pop(next(iter(seen)))
+                    seen[key] = None
+                    z = squeeze(raw)
+                    f.write(z)
+                    tid.append(key)
+                    at.append(end)
+                    size.append(len(z))
+                    end += len(z)
+                yield pa.RecordBatch.from_arrays([pa.array(tid, pa.binary()), pa.array([pack] * len(tid), pa.int64()), pa.array(at, pa.int64()), pa.array(size, pa.int64())], names=["tid", "pack", "at", "size"])
+
+    places = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(go), "tid binary, pack long, at long, size long").dropDuplicates(["tid"])
+    return written(places.join(nodes.select("nid", "tid"), "tid").select("nid", "pack", "at", "size"), "places"), root
+
+
+@contextmanager
+def _reader(root: str) -> Iterator[Callable[[int, int, int], bytes]]:
+    """A function that reads a text: its pack, where it begins there, and its size."""
+    files: dict[int, int] = {}
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def read(pack: int, at: int, size: int) -> bytes:
+        if pack not in files:
+            if len(files) >= OPEN:
+                os.close(files.pop(next(iter(files))))
+            files[pack] = os.open(f"{root}/{pack}", os.O_RDONLY)
+        return unpack(os.pread(files[pack], size, at))
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(go), "tid binary, z binary")
+    try:
+        yield read
+    finally:
+        for f in files.values():
+            os.close(f)
 
 
-def links(store: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Verified links (a < b, similarity) among the pairs.  store: nid, z (compressed text); nodes: nid, n (shingles)."""
+def links(store: DataFrame, root: str, nodes: DataFrame, pairs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Verified links (a < b, similarity) among the pairs.  store: nid and the place of its text in the packs of ``root``; nodes: nid, n (shingles)."""
     both = pairs.select(F.col("a").alias("nid"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("nid"), F.col("a").alias("o")))
     near = both.groupBy("nid").agg(F.least("nid", F.min("o")).alias("g")).join(nodes.select("nid", "n"), "nid")
     block = near.groupBy("g").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("blocks"))
@@ -413,47 +460,62 @@ def links(store: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float
     a, b = near.select(F.col("nid").alias("a"), F.col("g").alias("ga")), near.select(F.col("nid").alias("b"), F.col("g").alias("gb"))
     tasks = written(pairs.join(a, "a").join(b, "b").select("a", "b", F.xxhash64(F.least("ga", "gb"), F.greatest("ga", "gb")).alias("task")), "tasks")
     needs = tasks.select("task", F.col("a").alias("nid")).unionByName(tasks.select("task", F.col("b").alias("nid"))).distinct()
-    texts = store.join(needs, "nid")
-    work = texts.select("task", F.lit(0).alias("kind"), F.col("nid").alias("a"), F.lit(None).cast("long").alias("b"), "z").unionByName(
-        tasks.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("z"))
+    places = ["pack", "at", "size"]
+    work = store.join(needs, "nid").select("task", F.lit(0).alias("kind"), F.col("nid").alias("a"), F.lit(None).cast("long").alias("b"), *places).unionByName(
+        tasks.select("task", F.lit(1).alias("kind"), "a", "b", *[F.lit(None).cast("long").alias(c) for c in places])
     )
-    work = work.repartition(_parts(nodes), "task").sortWithinPartitions("task", "kind")
-    out = written(_verify(work.select("task", "kind", "a", "b", "z"), threshold, n), "links")
+    work = work.repartition(_parts(nodes), "task").sortWithinPartitions("task", "kind", "pack", "at")
+    out = written(_verify(work.select("task", "kind", "a", "b", *places), root, threshold, n), "links")
     forget(tasks)
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, shingle hashes, bounds) of batches whose last column is a compressed text."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        if len(b):
-            column = pa.array([unpack(z) for z in b.column(b.num_columns - 1).to_pylist()], pa.binary()).cast(pa.string())
-            for first, key, bounds in shingle_sets(column, n):
-                yield b.slice(first, len(bounds) - 1), key, bounds
+def _in_order(store: DataFrame) -> DataFrame:
+    """Each task gets texts that lie side by side, in the order in which they lie."""
+    return store.repartitionByRange(_parts(store), "pack", "at").sortWithinPartitions("pack", "at")
 
 
-def _frequencies(store: DataFrame, slots: int, n: int) -> str:
-    """Path of a table of ``slots`` bytes: on a log scale, how many shingles of the nodes fall into each slot; 1 is one."""
+def _sets(batches: Iterator[pa.RecordBatch], root: str, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, shingle hashes, bounds) of batches whose last three columns are the places of texts."""
+    with _reader(root) as read:
+        for b in batches:
+            if len(b):
+                column = pa.array([read(*x) for x in zip(*[c.to_pylist() for c in b.columns[-3:]])], pa.binary()).cast(pa.string())
+                for first, key, bounds in shingle_sets(column, n):
+                    yield b.slice(first, len(bounds) - 1), key, bounds
+
+
+def _frequencies(store: DataFrame, root: str, slots: int, bits: int, n: int) -> str:
+    """Path of two tables over the shingles of the nodes.
+
+    One of ``bits`` bits (``path``.bits): whether more than one falls into each of so
+    many slots.  One of ``slots`` bytes: on a log scale, how many fall into the
+    fullest of neighbouring slots of the former; equal shares of them have a byte.
+    """
     spark = store.sparkSession
     path = local_path(fresh(spark, "frequencies"))
-    with open(path, "wb") as f:
-        f.truncate(slots)
-    width = slots // PIECES
+    for name, size in ((path, slots), (f"{path}.bits", bits // 8)):
+        with open(name, "wb") as f:
+            f.truncate(size)
+    width, each = min(PIECE, bits // 64), bits // slots
+    kind = np.uint32 if bits <= 1 << 32 else np.uint64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def send(held: list[np.ndarray]) -> pa.RecordBatch:
             slot, c = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(slot, np.arange(PIECES + 1) * width)
+            cut = np.searchsorted(slot, np.arange(0, bits + 1, width, dtype=np.uint64))
             some = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if hi > lo]
-            z = [squeeze(np.diff(slot[lo:hi], prepend=np.uint32(i * width)).tobytes() + c[lo:hi].astype(np.uint32).tobytes()) for i, lo, hi in some]
+            z = []
+            for i, lo, hi in some:
+                steps = np.diff(slot[lo:hi], prepend=kind(i * width)).astype(np.uint32)
+                z.append(squeeze(np.concatenate([steps, c[lo:hi].astype(np.uint32)]).view(np.uint8).reshape(-1, 4).T.tobytes()))  # byte by byte: most are 0
             return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()), pa.array(z, pa.binary())], names=["piece", "z"])
 
         held, size = [], 0
-        for _, key, _ in _sets(batches, n):
-            held.append((key & np.uint64(slots - 1)).astype(np.uint32))
+        for _, key, _ in _sets(batches, root, n):
+            held.append((key & np.uint64(bits - 1)).astype(kind))
             size += len(key)
             if size >= GATHER:
                 yield send(held)
@@ -466,10 +528,12 @@ def _frequencies(store: DataFrame, slots: int, n: int) -> str:
         now, total = None, np.zeros(width, np.int64)
 
         def put() -> None:
-            level = np.where(total < 2, total, np.minimum(255, 1 + np.ceil(8 * np.log2(np.maximum(total, 1)))))
-            with open(path, "r+b") as f:
-                f.seek(now * width)
-                f.write(level.astype(np.uint8).tobytes())
+            coarse = total.reshape(-1, each).max(axis=1)
+            level = np.where(coarse < 2, coarse, np.minimum(255, 1 + np.ceil(8 * np.log2(np.maximum(coarse, 1)))))
+            for name, at, table in ((path, now * len(coarse), level.astype(np.uint8)), (f"{path}.bits", now * (width // 8), np.packbits(total > 1, bitorder="little"))):
+                with open(name, "r+b") as f:
+                    f.seek(at)
+                    f.write(table.tobytes())
 
         done = 0
         for b in batches:
@@ -479,29 +543,29 @@ def _frequencies(store: DataFrame, slots: int, n: int) -> str:
                         put()
                     now, done = piece, done + 1
                     total[:] = 0
-                slot, c = np.frombuffer(unpack(z), dtype=np.uint32).reshape(2, -1)
-                total[np.cumsum(slot, dtype=np.int64)] += c
+                steps, c = np.frombuffer(unpack(z), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(2, -1)
+                total[np.cumsum(steps, dtype=np.int64)] += c
         if now is not None:
             put()
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
 
-    counted = store.select("z").mapInArrow(tidy(count), "piece int, z binary").repartition(min(PIECES, _parts(store)), "piece").sortWithinPartitions("piece")
+    counted = _in_order(store).select("pack", "at", "size").mapInArrow(tidy(count), "piece int, z binary").repartition(min(bits // width, _parts(store)), "piece").sortWithinPartitions("piece")
     counted.mapInArrow(tidy(add), "done long").agg(F.sum("done")).collect()
     return path
 
 
-def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int) -> DataFrame:
-    """store: nid, label, z.  (bucket, z): packed (shingle, nid, label, place, shingles, the shingle before) of the first shingles of each set.
+def _prefixes(store: DataFrame, root: str, path: str, slots: int, bits: int, threshold: float, n: int) -> DataFrame:
+    """store: nid, label and the places of texts.  (bucket, z): packed (shingle, nid, label, place, shingles, the shingle before) of the first shingles of each set.
 
     All sets are in one order, rare shingles first.  The first shingle that two
     linked sets have in common lies before all those that the threshold demands,
     so only shingles with that many behind them are sent.  A shingle alone in its
-    slot is in no other set and is not sent.
+    finer slot is in no other set; it counts as the rarest and is not sent.
     """
     parts = _parts(store)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.memmap(path, np.uint8, "r")
+        level, more = np.memmap(path, np.uint8, "r"), np.memmap(f"{path}.bits", np.uint8, "r")
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def send(held: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -519,10 +583,11 @@ def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(z, pa.binary())], names=["bucket", "z"])
 
         held, many = [], 0
-        for rows, key, bounds in _sets(batches, n):
+        for rows, key, bounds in _sets(batches, root, n):
             size = np.diff(bounds)
             doc = np.repeat(np.arange(len(size)), size)
-            rare = level[key & np.uint64(slots - 1)]
+            slot = (key & np.uint64(bits - 1)).view(np.int64)
+            rare = np.where(more[slot >> 3] >> (slot & 7).astype(np.uint8) & 1, level[slot // (bits // slots)], np.uint8(1))
             order = np.argsort(doc << 8 | rare, kind="stable")  # keys ascend within a row
             place = np.arange(len(key)) - bounds[doc]
             at = np.flatnonzero((size[doc] - place >= np.ceil(threshold * size - 1e-6)[doc]) & (rare[order] != 1))
@@ -535,7 +600,7 @@ def _prefixes(store: DataFrame, path: str, slots: int, threshold: float, n: int)
         if many:
             yield send(held)
 
-    return store.select("nid", "label", "z").mapInArrow(tidy(go), "bucket int, z binary")
+    return _in_order(store).select("nid", "label", "pack", "at", "size").mapInArrow(tidy(go), "bucket int, z binary")
 
 
 def _meet(run: np.ndarray, nid: np.ndarray, label: np.ndarray, place: np.ndarray, size: np.ndarray, before: np.ndarray, threshold: float, own: np.ndarray | None = None, cross: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -656,17 +721,19 @@ def _cell_numbers(key: np.ndarray, bi: np.ndarray, bj: np.ndarray) -> np.ndarray
     return np.cumsum(np.append(0, (np.diff(key) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0)))
 
 
-def rest(store: DataFrame, labels: DataFrame | None, shingles: int, threshold: float, n: int, done: DataFrame) -> DataFrame:
+def rest(store: DataFrame, root: str, labels: DataFrame | None, shingles: int, threshold: float, n: int, done: DataFrame) -> DataFrame:
     """Candidate pairs (a < b) among which are all links of different classes, but for those that are ``done``.
 
-    store: nid, z; labels: (nid, label), None for every node a class of its own.
+    store: nid and the place of its text in the packs of ``root``; labels: (nid, label), None for every node a class of its own.
     Prefixes of sets in one order are joined by shingle, which misses no link.
     """
-    slots = max(1 << 16, min(SLOTS, 1 << max(shingles - 1, 1).bit_length()))
-    path = _frequencies(store, slots, n)
-    own = store.withColumn("label", F.col("nid")) if labels is None else store.join(labels, "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"), "z")
-    shared = written(_shared(_prefixes(own, path, slots, threshold, n), threshold), "shared")
+    about = 1 << max(shingles - 1, 1).bit_length()
+    slots, bits = (max(1 << 16, min(x)) for x in ((SLOTS, about // 8), (BITS, 4 * about)))
+    path = _frequencies(store, root, slots, bits, n)
+    own = store.withColumn("label", F.col("nid")) if labels is None else store.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    shared = written(_shared(_prefixes(own, root, path, slots, bits, threshold, n), threshold), "shared")
     os.remove(path)
+    os.remove(f"{path}.bits")
     pairs = shared.where("b is not null").select("a", "b")
     hot = shared.where("b is null").select(F.col("key").alias("p"), F.lit(0).alias("q"), F.col("a").alias("nid"), "label", "place", "size", "before")
     if hot.limit(1).count():
@@ -709,8 +776,8 @@ def matched_links(docs: DataFrame, nodes: DataFrame, text: str, threshold: float
     width = TREES * DEPTH
     least = 0.0 if SCREEN is None else max(0.0, threshold - SCREEN * math.sqrt(threshold * (1 - threshold) / width))
     trie = forest(nodes)
-    store = written(_texts(docs, text).dropDuplicates(["tid"]).join(nodes.select("nid", "tid"), "tid").select("nid", "z"), "texts")
-    found = done = None
+    store, root = _packs(docs, nodes, text)
+    found = done = labels = None
 
     def add(one: DataFrame | None, more: DataFrame) -> DataFrame:
         return more if one is None else one.unionByName(more)
@@ -721,14 +788,16 @@ def matched_links(docs: DataFrame, nodes: DataFrame, text: str, threshold: float
 
     for depth in range(DEPTH, 0, -1):
         pairs = written(_stars(trie, depth, done), "stars")
-        done, found = add(done, pairs), add(found, links(store, nodes, pairs, threshold, n))
-        if depth > 1 and judged(depth) < recall:
+        done, found = add(done, pairs), add(found, links(store, root, nodes, pairs, threshold, n))
+        got = judged(depth)
+        if depth > 1 and got < recall:
             continue
+        if degrees:  # rest() goes through pairs of one class and of several
+            break
         labels = components(found)
-        got = judged(depth)
         pairs = _crosses(trie, depth, nodes, labels, least, done)
         if pairs.limit(1).count():
-            done, more = add(done, pairs), links(store, nodes, pairs, threshold, n)
+            done, more = add(done, pairs), links(store, root, nodes, pairs, threshold, n)
             if more.limit(1).count():
                 found = add(found, more)
                 labels, got = components(found), judged(depth)
@@ -736,22 +805,28 @@ def matched_links(docs: DataFrame, nodes: DataFrame, text: str, threshold: float
             break
     forget(trie)
     shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = rest(store, None if degrees else labels, shingles, threshold, n, done)
+    pairs = rest(store, root, labels, shingles, threshold, n, done)
     if pairs.limit(1).count():
-        more = links(store, nodes, pairs, threshold, n)
+        more = links(store, root, nodes, pairs, threshold, n)
         if more.limit(1).count():
-            found = add(found, more)
-            labels = components(found)
+            found, labels = add(found, more), None
+    if labels is None:
+        labels = components(found)
+    forget(store)
+    shutil.rmtree(root, ignore_errors=True)
     return found, labels, depth, got
 
 
 def _nodes(docs: DataFrame, id_col: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
     """(rows: id, tid, set, n; nodes: a row per set that is not empty)."""
     ship(docs.sparkSession)
-    rows = written(_rows(docs, id_col, text, n), "rows")
+    wide = written(_rows(docs, id_col, text, n), "wide")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tid")))
-    nodes = rows.where("n > 0").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), first.alias("f"), F.max("n").alias("n"), F.min("keys").alias("keys"), F.min("sig").alias("sig"))
-    return rows, written(nodes.select("set", "copies", F.col("f.id").alias("id"), F.col("f.tid").alias("tid"), "n", "keys", "sig", F.monotonically_increasing_id().alias("nid")), "nodes")
+    nodes = wide.where("n > 0").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), first.alias("f"), F.max("n").alias("n"), F.min("keys").alias("keys"), F.min("sig").alias("sig"))
+    nodes = written(nodes.select("set", "copies", F.col("f.id").alias("id"), F.col("f.tid").alias("tid"), "n", "keys", "sig", F.monotonically_increasing_id().alias("nid")), "nodes")
+    rows = written(wide.select("id", "tid", "set", "n"), "rows")
+    forget(wide)
+    return rows, nodes
 
 
 def _solve(docs: DataFrame, id_col: str, text: str, threshold: float, recall: float, n: int, degrees: bool = False) -> tuple[DataFrame, DataFrame]:

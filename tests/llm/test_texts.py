@@ -373,6 +373,43 @@ def test_the_query_counts_all_links(spark, docs):
     assert Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got) == Counter(brute_classes(pairs(docs)))
 
 
+def test_no_text_is_shuffled(spark):
+    """The texts are much larger than what is known of them; pairs of them are far too many to be broadcast."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(60):
+        base = [f"{rng.getrandbits(1600):x}" for _ in range(200)]
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join([*base[:50], "x", *base[51:]])), (3 * g + 2, " ".join(f"{rng.getrandbits(1600):x}" for _ in range(200)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    executor = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)
+    before = executor().totalShuffleWrite()
+    try:
+        got = ngram_join.classes(df, degrees=True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    df.unpersist()
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got) == Counter(brute_classes(rows))
+    assert 0 < executor().totalShuffleWrite() - before < sum(len(t) for _, t in rows) / 4
+
+
+def test_texts_like_no_other_send_no_shingles(spark, monkeypatch):
+    import random
+
+    rng = random.Random(10)
+    sent = []
+    shared = ngram_join._shared
+    monkeypatch.setattr(ngram_join, "_shared", lambda prefixes, threshold: sent.append(prefixes.selectExpr("coalesce(sum(length(z)), 0) n").first().n) or shared(prefixes, threshold))
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(130))) for i in range(1000)]  # shingles: just under a power of 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.class_id == r.doc_id, r.n_links) for r in ngram_join.classes(df, degrees=True).collect()} == {(True, 0)}
+    assert len(sent) == 1 and sent[0] < 1000
+
+
 def test_one_of_each_class_stays(odd, docs):
     for df in (odd, docs):
         rows = pairs(df)
