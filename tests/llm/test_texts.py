@@ -386,15 +386,20 @@ def test_no_text_is_shuffled(spark):
     df.count()
     broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    executor = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)
-    before = executor().totalShuffleWrite()
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
     try:
         got = ngram_join.classes(df, degrees=True).collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     df.unpersist()
     assert Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got) == Counter(brute_classes(rows))
-    assert 0 < executor().totalShuffleWrite() - before < sum(len(t) for _, t in rows) / 4
+    assert 0 < written() - before < sum(len(t) for _, t in rows) / 4
 
 
 def test_texts_like_no_other_send_no_shingles(spark, monkeypatch):
