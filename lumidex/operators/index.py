@@ -233,7 +233,8 @@ class Store:
         if len(c["segments"]) > 1:  # counts add up, averages are made again
             lex = lex.groupBy(*KEYS).agg(F.sum("df").alias("df"))
             stats = stats.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")).withColumn("avgdl", F.col("total_len") / F.col("n_docs"))
-        return Index(t["documents"], t["postings"], [FieldSpec(**f) for f in c["fields"]], lex, stats, self.path)
+        # files of ids are small for what they hold, so by their size alone they would be broadcast
+        return Index(t["documents"].hint("merge"), t["postings"], [FieldSpec(**f) for f in c["fields"]], lex, stats, self.path)
 
     def compact(self) -> str | None:
         """Rewrites all segments as one, in one job a table; nothing to do for fewer than two.

@@ -40,7 +40,8 @@ def numbered(df: DataFrame, name: str, order: list[Column] | None = None, start:
     """df with dense row numbers from ``start``, in ``order`` or as the rows come.
 
     Rows are range-partitioned and written once; a count per partition then turns
-    positions within partitions into numbers, so no task sees all rows.
+    positions within partitions into numbers, so no task sees all rows.  The counts
+    are broadcast: their size is unknown to the planner, which would send the rows instead.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if order:
@@ -53,4 +54,4 @@ def numbered(df: DataFrame, name: str, order: list[Column] | None = None, start:
     if not rows:
         return marked.select(*df.columns, F.lit(0).cast("bigint").alias(name))
     parts = df.sparkSession.createDataFrame(rows, "_part int, _base bigint")
-    return marked.join(parts, "_part").select(*df.columns, (F.col("_base") + F.col("_pos")).alias(name))
+    return marked.join(F.broadcast(parts), "_part").select(*df.columns, (F.col("_base") + F.col("_pos")).alias(name))

@@ -93,5 +93,6 @@ class Reader:
             out = out.offset(skip)
         if limit is not None:
             out = out.limit(limit)
+            out = F.broadcast(out) if limit <= 10_000 else out
         named = out.join(s.index.documents, "doc_idx")
         return resolve(named, reverse).select("doc_id", "score")

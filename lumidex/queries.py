@@ -170,7 +170,7 @@ def ranked(name: str, corpus: str, q: SimpleQuery, only: tuple[str, ...] = (), c
         scores = s.bm25(query).select("doc_idx", F.round("score", 6).alias("score")).where("score > 0")
         out = s.resolve(scores, reverse)
         out = out.offset(skip) if skip else out
-        out = out.limit(top) if top else out
+        out = F.broadcast(out.limit(top)) if top else out
         return named(s.index, out)
 
     o = sql_query or q

@@ -14,6 +14,7 @@ from lumidex.operators import fields as f
 from lumidex.operators.fields import text
 from lumidex.operators.index import ConcurrentChange, Index, Store, merge
 from lumidex.operators.matching import fuzzy_terms
+from lumidex.operators.tables import numbered
 from lumidex.plans.compile import Keyword, Range, SimpleQuery
 from lumidex.plans.search import Reader, SearchConfig, Searcher
 from lumidex.sources.pages import read_mediawiki, read_ndjson, write_ndjson
@@ -225,6 +226,18 @@ def test_segments_equal_one_build(spark, frame, index, tmp_path):
     store.drop()
 
 
+def test_rows_and_documents_are_never_broadcast(spark, frame, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = numbered(frame.select("id", "n"), "k", [F.col("n")])
+    assert "BuildRight" in plan(rows) and "BuildLeft" not in plan(rows) and [r.k for r in rows.orderBy("n").collect()] == list(range(60))
+    store = Store(spark, str(tmp_path / "ix"))
+    store.append(frame, "id", SPECS, ["n"])
+    ix = store.open()
+    assert "Broadcast" not in plan(ix.postings.where("term = 'fox'").select("doc_idx").join(ix.documents, "doc_idx"))
+    page = plan(Reader(ix, "en").query_string("fox", limit=3))
+    assert "SortMergeJoin [doc_idx" not in page.split("Scan parquet")[0]  # a page's few rows go to the documents
+
+
 def test_merge_shifts_and_adds(spark, frame, index):
     halves = [Index.of(frame.where(c), "id", SPECS, F.col("n") % 30) for c in ("n < 30", "n >= 30")]
     both = merge(*halves)
