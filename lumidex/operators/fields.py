@@ -29,6 +29,11 @@ class FieldSpec:
     def rules(self) -> Analyzer:
         return analyzer(self.analyzer)
 
+    @property
+    def value(self) -> str:
+        """The column of the postings that has its values."""
+        return {"text": "term", "keyword": "term", "float": "num_f"}.get(self.rules.kind, "num_i")
+
     def as_dict(self) -> dict:
         return asdict(self)
 
@@ -75,9 +80,14 @@ def _typed(df: DataFrame, spec: FieldSpec, many: bool) -> DataFrame:
     return rows.select("doc_idx", v.alias("v")).where("v is not null")
 
 
-def by_document(df: DataFrame) -> DataFrame:
+def single(df: DataFrame, spec: FieldSpec) -> bool:
+    """Whether a row has one value of the field at most, so that nothing is counted."""
+    return spec.rules.kind != "text" and df.schema[spec.source].dataType.typeName() != "array"
+
+
+def by_document(df: DataFrame, parts: int) -> DataFrame:
     """df spread by doc_idx, so that the tokens of a document are counted where its text is and never shuffled for it."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_idx")
+    return df.repartition(parts, "doc_idx")
 
 
 def postings(df: DataFrame, specs: Iterable[FieldSpec]) -> DataFrame:
@@ -103,7 +113,10 @@ def postings(df: DataFrame, specs: Iterable[FieldSpec]) -> DataFrame:
             rows = df.where(col.isNotNull()).select("doc_idx", toks.alias("t"))
             if kind == "text" and not stem:
                 rows = rows.select("doc_idx", F.filter("t", lambda x: x != "").alias("t"))
-            rows = rows.where(F.size("t") > 0).select("doc_idx", F.size("t").alias("dl"), F.explode("t").alias("term"))
+            if kind == "text":  # a filter on the size, which explode has too, would split the texts once more, before they are spread
+                rows = rows.select("doc_idx", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
+            else:
+                rows = rows.where(F.size("t") > 0).select("doc_idx", F.size("t").alias("dl"), F.explode("t").alias("term"))
             if stem:
                 rows = rows.select("doc_idx", "dl", stem(F.col("term")).alias("term"))
             if kind == "keyword" and not many:

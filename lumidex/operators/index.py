@@ -8,7 +8,8 @@ counts: a change is one rename to the next number, which fails if another writer
 took it, and is then tried again on top of that.  So writers may run side by
 side, and one that dies leaves the index as it was.  Postings carry the field's length in the document, so scoring
 needs no join for it.  Postings and lexicon are partitioned by field and sorted
-by term: a field is a folder, a term a row group.
+by term: a field is a folder, a term a run of rows in each of its files.  A file
+of postings holds all of some documents, so they are never shuffled by term.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fields import FieldSpec, by_document, postings
+from .fields import FieldSpec, by_document, postings, single
 from .tables import numbered
 
 TABLES = ("documents", "postings", "lexicon", "field_stats")
@@ -34,9 +35,15 @@ def lexicon(posts: DataFrame) -> DataFrame:
 
 
 def field_stats(posts: DataFrame) -> DataFrame:
-    """field, n_docs (having the field), total_len, avgdl."""
-    per_doc = posts.groupBy("field", "doc_idx").agg(F.max("dl").alias("dl"))
-    return per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_len")).withColumn("avgdl", F.col("total_len") / F.col("n_docs"))
+    """field, n_docs (having the field), total_len, avgdl.
+
+    A posting of length 1 is all that its document has in the field, so only longer ones are grouped by document.
+    """
+    several = F.col("dl") > 1
+    per_doc = posts.groupBy("field", F.when(several, F.col("doc_idx")).alias("doc")).agg(F.count(F.lit(1)).alias("n"), F.max("dl").alias("dl"))
+    alone = F.col("doc").isNull()
+    sums = per_doc.groupBy("field").agg(F.sum(F.when(alone, F.col("n")).otherwise(1)).alias("n_docs"), F.sum(F.when(alone, F.col("n")).otherwise(F.col("dl"))).alias("total_len"))
+    return sums.withColumn("avgdl", F.col("total_len") / F.col("n_docs"))
 
 
 class Index:
@@ -184,7 +191,7 @@ class Store:
         columns = dict.fromkeys([id_col, *[s.source for s in fields], *(order or ())])
         rows = numbered(df.select(*[F.col(f"`{c}`") for c in columns]), "doc_idx", [F.col(f"`{c}`") for c in order or ()])
         name = uuid.uuid4().hex
-        n = self._write(name, rows.select("doc_idx", F.col(f"`{id_col}`").alias("doc_id")), postings(by_document(rows), fields))
+        n = self._write(name, rows.select("doc_idx", F.col(f"`{id_col}`").alias("doc_id")), [(s.name, postings(rows if single(rows, s) else by_document(rows, self._pieces(rows)), [s])) for s in fields], fields)
 
         def add(c: dict) -> dict | None:
             if c["fields"] and c["fields"] != kinds:
@@ -196,11 +203,23 @@ class Store:
 
         return name if self._change(add) else None
 
-    def _write(self, name: str, documents: DataFrame, posts: DataFrame) -> int:
+    #: Bytes on disk of the rows that one task analyses or sorts.
+    PIECE = 8 << 20
+
+    def _pieces(self, df: DataFrame) -> int:
+        """How many parts of PIECE the files make that df reads: a part stays as large, however many rows there are."""
+        fs, path = self._fs()
+        total = sum(fs.getContentSummary(path(at)).getLength() for at in {f.rpartition("/")[0] for f in df.inputFiles()})
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // self.PIECE))
+
+    def _write(self, name: str, documents: DataFrame, posts: Iterable[tuple[str, DataFrame]], specs: Sequence[FieldSpec]) -> int:
+        """``posts``: postings by name of field, which are sorted where they are; a column that a field lacks is left out, so it reads as null."""
         at = f"{self.path}/{name}"
         documents.write.parquet(f"{at}/documents")
-        # a rebalance, unlike a hash partitioning, splits a term that fills more than one partition
-        posts.hint("rebalance", "field", "term", "num_i", "num_f").sortWithinPartitions("field", "term", "num_i", "num_f", "doc_idx").write.partitionBy("field").parquet(f"{at}/postings")
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for field, df in posts:
+            values = dict.fromkeys(s.value for s in specs if s.name == field)
+            df.select(*values, "doc_idx", "tf", "dl").sortWithinPartitions(*values).write.mode("append").parquet(f"{at}/postings/field={escaped(field)}")
         kept = self._read(name, "postings")
         lexicon(kept).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{at}/lexicon")
         field_stats(kept).write.parquet(f"{at}/field_stats")
@@ -247,7 +266,8 @@ class Store:
             return c["segments"][0]["name"] if c["segments"] else None
         whole = self._opened(c)
         name = uuid.uuid4().hex
-        self._write(name, whole.documents, whole.postings)
+        posts = by_document(whole.postings, self._pieces(whole.postings))
+        self._write(name, whole.documents, [(field, posts.where(F.col("field") == field)) for field in dict.fromkeys(s.name for s in whole.specs)], whole.specs)
 
         def swap(now: dict) -> dict:
             if now["segments"][: len(c["segments"])] != c["segments"]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumidex.functions import scalar as S
 from lumidex.functions.analysis import analyzer, register_analyzer, text_analyzer
 from lumidex.operators import fields as f
-from lumidex.operators.fields import text
+from lumidex.operators.fields import postings, text
 from lumidex.operators.index import ConcurrentChange, Index, Store, merge
 from lumidex.operators.matching import fuzzy_terms
 from lumidex.operators.tables import numbered
@@ -238,6 +238,24 @@ def test_rows_and_documents_are_never_broadcast(spark, frame, tmp_path):
     assert "SortMergeJoin [doc_idx" not in page.split("Scan parquet")[0]  # a page's few rows go to the documents
 
 
+def test_texts_are_split_once_and_not_shuffled_by_term(spark, frame, index, tmp_path):
+    texts = frame.select(F.col("n").alias("doc_idx"), "body").repartition(3, "doc_idx")
+    for name in ("en", "en_stop"):
+        plan = postings(texts, [f.text("body", name)])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and "RepartitionByExpression" in plan
+    store = Store(spark, str(tmp_path / "ix"))
+    store.append(frame, "id", SPECS, ["n"])
+    for _ in range(2):  # as appended, and compacted with a second segment
+        ix = store.open()
+        files = ix.postings.where("field = 'body'").select("doc_idx", F.input_file_name().alias("file")).distinct().groupBy("doc_idx").count()
+        assert files.where("count > 1").count() == 0 and files.count() > 0
+        n = store.catalog()["docs"] // 60
+        assert {r.field: (r.n_docs, r.total_len) for r in ix.stats.collect()} == {r.field: (r.n_docs * n, r.total_len * n) for r in index.stats.collect()}
+        assert sorted(map(repr, ix.lexicon.withColumn("df", F.col("df") / n).collect())) == sorted(map(repr, index.lexicon.withColumn("df", F.col("df") / 1).collect()))
+        store.append(frame, "id", SPECS, ["n"])
+        store.compact()
+
+
 def test_merge_shifts_and_adds(spark, frame, index):
     halves = [Index.of(frame.where(c), "id", SPECS, F.col("n") % 30) for c in ("n < 30", "n >= 30")]
     both = merge(*halves)
